@@ -19,7 +19,28 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(read_table(spark, sf_dir, "documents"))
 
 
+def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .packing import best_fit_pack
+
+    return best_fit_pack(read_table(spark, sf_dir, "documents"))
+
+
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .mixing import mix
+
+    return mix(read_table(spark, sf_dir, "documents"))
+
+
+def op2_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .simhash import simhash_dedup
+
+    return simhash_dedup(read_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
+    "op2_simhash_dedup": op2_simhash_dedup,
+    "op9_mixing": op9_mixing,
+    "op10_best_fit_packing": op10_best_fit_packing,
     "op3_secret_scan": op3_secret_scan,
     "op6_exact_dedup": op6_exact_dedup,
 }
