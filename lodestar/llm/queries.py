@@ -49,7 +49,14 @@ def op1_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_digests(read_table(spark, sf_dir, "conversations"))
 
 
+def op4_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .media import media_columns
+
+    return media_columns(read_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
+    "op4_media_columns": op4_media_columns,
     "op1_chat_formatting": op1_chat_formatting,
     "op7_token_files": op7_token_files,
     "op2_simhash_dedup": op2_simhash_dedup,
