@@ -55,7 +55,14 @@ def op4_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_columns(read_table(spark, sf_dir, "documents"))
 
 
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .substring import substring_dedup
+
+    return substring_dedup(read_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
+    "op8_substring_dedup": op8_substring_dedup,
     "op4_media_columns": op4_media_columns,
     "op1_chat_formatting": op1_chat_formatting,
     "op7_token_files": op7_token_files,
