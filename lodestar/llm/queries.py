@@ -61,7 +61,14 @@ def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(read_table(spark, sf_dir, "documents"))
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import score
+
+    return score(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
 QUERIES = {
+    "op5_toxicity": op5_toxicity,
     "op8_substring_dedup": op8_substring_dedup,
     "op4_media_columns": op4_media_columns,
     "op1_chat_formatting": op1_chat_formatting,
