@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from .common import materialize, ship
 
-WEIGHTS, CAP, BLOCK, SEED = (5.0, 2.0, 1.0), 3.0, 20_000, 17
+WEIGHTS, CAP, BLOCK, SEED = (5.0, 2.0, 1.0), 3.0, 2_000, 17
 #: Sources up to which the table of targets (some 100 bytes a row) is broadcast; a shuffle join beyond.
 BROADCAST_SOURCES = 20_000
 EPS = 1e-9
