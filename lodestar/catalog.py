@@ -1,6 +1,516 @@
-"""Every registered query of the engine, and its SQL where SQL can express it."""
+"""Every registered query of the engine, and its SQL where SQL can express it.
+
+A query takes roles (see ``adapters``) through an operator.  Doubles are rounded to six
+places on both sides.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .adapters import oracle, roles
+from .functions import text as T
+from .operators import coupling as C
+from .operators import graph as G
+from .operators import history as H
+from .operators import rules as R
+from .operators import snapshots as S
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE: dict[str, str] = {}
+
+CANONICAL = """, renames AS (SELECT DISTINCT previous_path, file_path FROM file_changes WHERE previous_path IS NOT NULL AND previous_path <> file_path),
+walk(path, current_path, depth) AS (SELECT DISTINCT file_path, file_path, 0 FROM file_changes UNION ALL
+  SELECT w.path, r.file_path, w.depth + 1 FROM walk w JOIN renames r ON r.previous_path = w.current_path WHERE w.depth < 20),
+canonical AS (SELECT path, (max((depth, current_path)))[2] AS current_path FROM walk GROUP BY path)"""
+FIXES = CANONICAL + """, fixes AS (SELECT DISTINCT c.id AS commit_id, k.current_path AS path, c.committed_at, epoch(c.committed_at) AS fixed_at
+  FROM file_changes f JOIN commits c ON f.commit_id = c.id JOIN canonical k ON k.path = f.file_path WHERE c.is_fix),
+newest AS (SELECT max(epoch(committed_at)) AS now_at FROM commits),
+file_fixes AS (SELECT f.path, count(*) AS fixes, CAST(sum(CAST(power(0.5, (n.now_at - f.fixed_at) / CAST(180 * 86400 AS DOUBLE)) AS DECIMAL(18,9))) AS DOUBLE) AS mass, max(f.committed_at) AS last_fix_at FROM fixes f, newest n GROUP BY f.path)"""
+OWNERS = """, per_author AS (SELECT file_path, author_email, count(*) AS n FROM file_changes f JOIN commits c ON f.commit_id = c.id GROUP BY ALL),
+shares AS (SELECT file_path, n, n / sum(n) OVER (PARTITION BY file_path) AS share FROM per_author),
+owners AS (SELECT file_path, max(share) AS ownership, count(*) FILTER (share < 0.05) AS minor_contributors, count(*) FILTER (share >= 0.05) AS major_contributors, CAST(sum(n) AS BIGINT) AS total_commits FROM shares GROUP BY file_path)"""
+EDGES = ", edges AS (SELECT DISTINCT source_module AS source, target_module AS target FROM dependencies WHERE NOT is_external AND source_module <> target_module)"
+FANS = EDGES + """, fans AS (SELECT name, coalesce(i, 0) AS fan_in, coalesce(o, 0) AS fan_out, CASE WHEN coalesce(i, 0) + coalesce(o, 0) = 0 THEN 0 ELSE coalesce(o, 0) / (coalesce(i, 0) + coalesce(o, 0)) END AS instability
+  FROM modules LEFT JOIN (SELECT target AS t, count(*) AS i FROM edges GROUP BY 1) ON t = name LEFT JOIN (SELECT source AS s, count(*) AS o FROM edges GROUP BY 1) ON s = name)"""
+# a file's churn in module terms, for the scores: 'm<n>' modules of files
+CHURN = CANONICAL + """, touched AS (SELECT DISTINCT k.current_path AS path, f.commit_id FROM file_changes f JOIN canonical k ON k.path = f.file_path),
+file_churn AS (SELECT files.path, files.module_name, commit_id FROM files LEFT JOIN touched USING (path))"""
+
+
+def query(names: str, sql: str | None = None, raw: bool = False):
+    """Register a function of the named roles; ``sql`` follows the roles' CTEs in the oracle."""
+
+    def register(build):
+        key = build.__name__
+
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            df = build(*roles(spark, sf_dir, *names.split()))
+            return df.select(*[F.round(c, 6).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
+
+        run.__doc__ = build.__doc__
+        QUERIES[key] = run
+        if sql:
+            ORACLE[key] = oracle(names, sql)
+        return build
+
+    return register
+
+
+# ---- coupling
+
+
+@query("modules dependencies", FANS + " SELECT name, fan_in, fan_out, round(instability, 6) AS instability FROM fans")
+def module_coupling(modules, deps):
+    """Fan-in, fan-out and instability of every module."""
+    return C.fans(modules, C.local_edges(deps))
+
+
+@query("modules dependencies", EDGES + " SELECT m AS modules, e AS edges, round(CASE WHEN m < 2 THEN 0 ELSE e / (m * (m - 1)) END, 6) AS density FROM (SELECT count(*) AS m FROM modules), (SELECT count(*) AS e FROM edges)")
+def coupling_density(modules, deps):
+    """A13."""
+    return C.density(modules, C.local_edges(deps))
+
+
+@query("dependencies", " SELECT DISTINCT source_module AS source, target_module AS target FROM dependencies WHERE NOT is_external AND source_module <> target_module AND dependency_kind <> 'type_import'")
+def runtime_edges(deps):
+    """F3."""
+    return C.local_edges(deps, runtime_only=True)
+
+
+@query("modules dependencies", FANS + " SELECT name, 2 * fan_in + 3 * fan_out AS score FROM fans ORDER BY score DESC, name LIMIT 10")
+def top_hotspots(modules, deps):
+    """T1."""
+    return C.top_hotspots(C.fans(modules, C.local_edges(deps)))
+
+
+@query("modules dependencies sparse_dependencies", FANS + """, z AS (SELECT (SELECT count(*) FROM modules) AS modules, (SELECT count(*) FROM edges) AS edges,
+  (SELECT coalesce(max(2 * fan_in + 3 * fan_out), 0) FROM fans) AS top_score, (SELECT count(*) FROM sparse_dependencies WHERE source_module = target_module) AS cycles, (SELECT count(*) FROM dependencies WHERE is_external) AS external_dependencies)
+  SELECT modules, edges, round(edges / (modules * (modules - 1)), 6) AS density, top_score, cycles, external_dependencies,
+  CASE WHEN cycles >= 3 THEN 'critical' WHEN cycles > 0 OR edges / (modules * (modules - 1)) >= 0.35 THEN 'high' WHEN edges / (modules * (modules - 1)) >= 0.15 OR top_score >= 10 THEN 'medium' ELSE 'low' END AS risk FROM z""")
+def summary_report(modules, deps, sparse):
+    """A14; modules that depend on themselves stand for cycles here."""
+    return C.summary(modules, deps, sparse.where("source_module = target_module"))
+
+
+@query("files symbols", ", t AS (SELECT file_path, count(*) FILTER (kind = 'interface') AS abstract_types, count(*) AS types FROM symbols WHERE kind IN ('class', 'interface') GROUP BY file_path) SELECT * FROM t")
+def file_abstractness(files, symbols):
+    """A8, J2."""
+    return C.abstractness(symbols)
+
+
+@query("complexity files", " SELECT module_name, CAST(sum(cognitive) AS BIGINT) AS cognitive FROM complexity JOIN files ON path = file_path GROUP BY 1")
+def module_complexity(complexity, files):
+    """A7, J1."""
+    return C.cognitive_totals(complexity, files)
+
+
+@query("complexity files", " SELECT path, CAST(sum(cognitive) AS BIGINT) AS cognitive FROM complexity JOIN files ON path = file_path GROUP BY 1")
+def file_complexity(complexity, files):
+    """A7."""
+    return C.cognitive_totals(complexity, files, "path")
+
+
+@query("coverage files", " SELECT module_name, CAST(sum(lines_found) AS BIGINT) AS lines_found, CAST(sum(lines_hit) AS BIGINT) AS lines_hit, round(CASE WHEN sum(lines_found) = 0 THEN 1 ELSE sum(lines_hit) / sum(lines_found) END, 6) AS line_rate FROM coverage JOIN files ON path = file_path GROUP BY 1")
+def coverage_rollup(coverage, files):
+    """A21."""
+    return C.coverage_rollup(coverage, files)
+
+
+@query("complexity", ", v AS (SELECT cognitive AS v, row_number() OVER (ORDER BY cognitive) AS r, count(*) OVER () AS n FROM complexity WHERE cognitive > 0) SELECT round(CAST(v AS DOUBLE), 6) AS value FROM v WHERE r = round(0.9 * (n - 1)) + 1")
+def nearest_rank_p90(complexity):
+    """A18."""
+    return C.nearest_rank(complexity, "cognitive", 0.9)
+
+
+@query("findings", " SELECT rule_name, count(*) AS n FROM findings GROUP BY 1")
+def rule_tally(findings):
+    """A19."""
+    return C.tally(findings, "rule_name")
+
+
+@query("findings", " SELECT severity, count(*) AS n FROM findings GROUP BY 1")
+def severity_tally(findings):
+    """A19."""
+    return C.tally(findings, "severity")
+
+
+@query("role_dependencies", """, t AS (SELECT source, target, CASE WHEN source LIKE '%controller%' THEN 'controller' WHEN source LIKE '%service%' THEN 'service' WHEN source LIKE '%repository%' THEN 'repository' END AS a,
+  CASE WHEN target LIKE '%controller%' THEN 'controller' WHEN target LIKE '%service%' THEN 'service' WHEN target LIKE '%model%' THEN 'model' END AS b FROM role_dependencies),
+  k AS (SELECT least(a, b) AS lo, greatest(a, b) AS hi, count(*) FILTER (a < b) AS fw, count(*) FILTER (a > b) AS bw FROM t WHERE a <> b GROUP BY 1, 2)
+  SELECT CASE WHEN fw >= bw THEN lo ELSE hi END AS from_role, CASE WHEN fw >= bw THEN hi ELSE lo END AS to_role, greatest(fw, bw) AS matching, fw + bw AS total, round(greatest(fw, bw) / (fw + bw), 6) AS confidence
+  FROM k WHERE fw + bw >= 3 AND greatest(fw, bw) / (fw + bw) >= 0.7""")
+def dependency_conventions(deps):
+    """A25, X13."""
+    return C.conventions(deps)[0]
+
+
+@query("role_dependencies", """, t AS (SELECT CASE WHEN source LIKE '%controller%' THEN 'controller' WHEN source LIKE '%service%' THEN 'service' WHEN source LIKE '%repository%' THEN 'repository' END AS a,
+  CASE WHEN target LIKE '%controller%' THEN 'controller' WHEN target LIKE '%service%' THEN 'service' WHEN target LIKE '%model%' THEN 'model' END AS b, source, target FROM role_dependencies),
+  k AS (SELECT least(a, b) AS lo, greatest(a, b) AS hi, count(*) FILTER (a < b) AS fw, count(*) FILTER (a > b) AS bw FROM t WHERE a <> b GROUP BY 1, 2),
+  c AS (SELECT CASE WHEN fw >= bw THEN lo ELSE hi END AS f, CASE WHEN fw >= bw THEN hi ELSE lo END AS t, greatest(fw, bw) / (fw + bw) AS p FROM k WHERE fw + bw >= 3 AND greatest(fw, bw) / (fw + bw) >= 0.7)
+  SELECT severity, count(*) AS n FROM (SELECT CASE WHEN p > 0.85 THEN 'violation' ELSE 'warning' END AS severity FROM t JOIN c ON a = c.t AND b = c.f) GROUP BY 1""")
+def convention_deviations(deps):
+    """R34."""
+    return C.tally(C.conventions(deps)[1], "severity")
+
+
+# ---- history
+
+
+@query("file_changes commits", OWNERS + " SELECT file_path, round(ownership, 6) AS ownership, minor_contributors, major_contributors, total_commits FROM owners")
+def ownership(changes, commits):
+    """A1."""
+    return H.ownership(changes, commits)
+
+
+@query("file_changes commits files", OWNERS + " SELECT module_name AS name, round(avg(CASE WHEN ownership < 0.5 THEN 1 ELSE 0 END), 6) AS fragmentation FROM owners JOIN files ON path = file_path GROUP BY 1")
+def ownership_fragmentation(changes, commits, files):
+    """A16."""
+    return C.fragmentation(H.ownership(changes, commits), files)
+
+
+@query("file_changes", CANONICAL + " SELECT path, current_path FROM canonical")
+def rename_closure(changes):
+    """J5, A6."""
+    return H.canonical_paths(changes)
+
+
+@query("file_changes files", CHURN + " SELECT path, count(DISTINCT commit_id) AS commits FROM file_churn GROUP BY 1")
+def file_churn(changes, files):
+    """Zero kept."""
+    return H.churn(files, changes)
+
+
+@query("file_changes files", CHURN + " SELECT module_name, count(DISTINCT commit_id) AS commits FROM file_churn GROUP BY 1")
+def module_churn(changes, files):
+    """A2."""
+    return H.churn(files, changes, "module_name")
+
+
+@query("file_changes commits", FIXES + " SELECT path, fixes, round(mass, 6) AS mass, last_fix_at FROM file_fixes")
+def file_fix_history(changes, commits):
+    """A3, J6, X20."""
+    return H.fix_history(changes, commits)
+
+
+@query("file_changes commits files", FIXES + """, m AS (SELECT DISTINCT module_name, commit_id, committed_at, fixed_at FROM fixes JOIN files USING (path))
+  SELECT module_name, count(*) AS fixes, round(CAST(sum(CAST(power(0.5, (n.now_at - m.fixed_at) / CAST(180 * 86400 AS DOUBLE)) AS DECIMAL(18,9))) AS DOUBLE), 6) AS mass, max(committed_at) AS last_fix_at FROM m, newest n GROUP BY 1""")
+def module_fix_history(changes, commits, files):
+    """A4."""
+    return H.module_fix_history(files, changes, commits)
+
+
+@query("file_changes commits", ", n AS (SELECT max(epoch(committed_at)) AS at FROM commits) SELECT file_path, round((n.at - max(epoch(committed_at))) / 86400, 6) AS age_days FROM file_changes f JOIN commits c ON f.commit_id = c.id, n GROUP BY file_path, n.at")
+def file_age(changes, commits):
+    """A5."""
+    return H.file_age_days(changes, commits)
+
+
+@query("file_changes commits", ", r AS (SELECT DISTINCT file_path, sha, epoch(committed_at) AS s FROM file_changes f JOIN commits c ON f.commit_id = c.id) SELECT file_path, sha, round((s - lag(s) OVER (PARTITION BY file_path ORDER BY s, sha)) / 86400, 6) AS days FROM r")
+def days_since_previous_commit(changes, commits):
+    """W1."""
+    return H.days_since_previous(changes, commits)
+
+
+@query("brand_changes commits", " SELECT sha, committed_at, list_sort(list(DISTINCT file_path)) AS files FROM brand_changes f JOIN commits c ON f.commit_id = c.id GROUP BY 1, 2")
+def commit_file_sets(changes, commits):
+    """A11."""
+    return H.commit_file_sets(changes, commits)
+
+
+@query("brand_changes", ", s AS (SELECT commit_id FROM brand_changes GROUP BY 1 HAVING count(*) BETWEEN 2 AND 30), r AS (SELECT * FROM brand_changes SEMI JOIN s USING (commit_id)) SELECT a.file_path AS left_path, b.file_path AS right_path, count(*) AS n FROM r a JOIN r b ON a.commit_id = b.commit_id AND a.file_path < b.file_path GROUP BY 1, 2 HAVING count(*) >= 3")
+def co_change_pairs_raw(changes):
+    """A9, J7, J8."""
+    return H.raw_co_changes(changes)
+
+
+def _co_changes(role: str, jaccard: float) -> str:
+    return f""", d AS (SELECT DISTINCT commit_id, file_path FROM {role}), s AS (SELECT commit_id FROM d GROUP BY 1 HAVING count(*) BETWEEN 2 AND 30), r AS (SELECT * FROM d SEMI JOIN s USING (commit_id)),
+  t AS (SELECT file_path, count(*) AS n FROM r GROUP BY 1), w AS (SELECT count(DISTINCT commit_id) AS w FROM r),
+  p AS (SELECT a.file_path AS l, b.file_path AS r, count(*) AS support, list_slice(list(c.sha ORDER BY c.committed_at DESC, c.sha DESC), 1, 5) AS commit_shas FROM r a JOIN r b ON a.commit_id = b.commit_id AND a.file_path < b.file_path JOIN commits c ON c.id = a.commit_id GROUP BY 1, 2 HAVING count(*) >= 3)
+  SELECT l AS left_path, p.r AS right_path, support, round(support / (x.n + y.n - support), 6) AS jaccard, round(support * w / (x.n * y.n), 6) AS lift, round(support / x.n, 6) AS confidence_left, round(support / y.n, 6) AS confidence_right, commit_shas
+  FROM p JOIN t x ON x.file_path = l JOIN t y ON y.file_path = p.r, w WHERE support / (x.n + y.n - support) >= {jaccard} AND support * w / (x.n * y.n) > 1"""
+
+
+@query("brand_changes commits", _co_changes("brand_changes", 0.0))
+def co_change_association(changes, commits):
+    """A10."""
+    return H.co_changes(changes, commits, 3, 0.0)
+
+
+@query("supplier_changes commits", _co_changes("supplier_changes", 0.02) + " AND greatest(support / x.n, support / y.n) >= 0.04")
+def co_change_suppliers(changes, commits):
+    """A10 at a finer grain, F16."""
+    return H.confident(H.co_changes(changes, commits, 3, 0.02), 0.04)
+
+
+@query("file_changes files", """, r AS (SELECT DISTINCT commit_id, file_path, module_name FROM file_changes JOIN files ON path = file_path), k AS (SELECT commit_id, module_name, count(*) AS n FROM r GROUP BY 1, 2), p AS (SELECT *, n / sum(n) OVER (PARTITION BY commit_id) AS p FROM k)
+  SELECT commit_id, CAST(sum(n) AS BIGINT) AS files, count(*) AS modules, round(CASE WHEN count(*) > 1 THEN sum(-p * ln(p)) / ln(count(*)) ELSE 0 END, 6) AS spread FROM p GROUP BY 1""")
+def commit_shape(changes, files):
+    """A24, A23."""
+    return H.commit_shape(changes, files)
+
+
+@query("file_changes", ", s AS (SELECT commit_id, count(DISTINCT file_path) AS files FROM file_changes GROUP BY 1) SELECT commit_id, files, round(cume_dist() OVER (ORDER BY files), 6) AS share_at_or_below FROM s")
+def percentile_of_change(changes):
+    """W3."""
+    return H.percentile_of_change(changes.groupBy("commit_id").agg(F.countDistinct("file_path").alias("files")))
+
+
+@query("findings files file_changes commits", FIXES + """, z AS (SELECT files.path, size_bytes, coalesce(mass, 0) AS mass FROM files LEFT JOIN file_fixes f ON f.path = files.path), b AS (SELECT sum(mass) * 1024 / sum(size_bytes) AS base FROM z),
+  g AS (SELECT DISTINCT rule_name, file_path FROM findings), r AS (SELECT rule_name, count(*) AS files, CAST(sum(size_bytes) AS BIGINT) AS bytes, sum(mass) AS mass FROM g JOIN z ON path = file_path GROUP BY 1)
+  SELECT rule_name, files, bytes, round(mass, 6) AS mass, round(mass * 1024 / bytes, 6) AS rate, round(mass * 1024 / bytes / base, 6) AS lift FROM r, b""")
+def rule_self_check(findings, files, changes, commits):
+    """A22."""
+    return C.self_check(findings, files, H.fix_history(changes, commits))
+
+
+# ---- scores and rules
+
+
+@query("complexity", """ SELECT 'complexity' AS rule_name, CASE WHEN cognitive >= 25 THEN 'high' ELSE 'medium' END AS severity, file_path, qualified_name, line FROM complexity WHERE cognitive >= 15 OR cyclomatic >= 10
+  UNION ALL SELECT 'long-function', CASE WHEN line_count >= 150 THEN 'medium' ELSE 'low' END, file_path, qualified_name, line FROM complexity WHERE line_count >= 75
+  UNION ALL SELECT 'long-parameter-list', CASE WHEN param_count >= 10 THEN 'medium' ELSE 'low' END, file_path, qualified_name, line FROM complexity WHERE param_count >= 7""")
+def complexity_rules(complexity):
+    """R6, R7, R8."""
+    return R.complexity_findings(complexity)
+
+
+@query("findings", " SELECT * FROM findings WHERE severity IN ('high', 'critical')")
+def severity_floor(findings):
+    """F1."""
+    return R.severity_floor(findings, 2)
+
+
+@query("symbols calls", """, s AS (SELECT * FROM symbols), k AS (SELECT caller_symbol_id AS caller, t.module_id AS m, count(*) AS n FROM calls JOIN s t ON t.id = callee_symbol_id GROUP BY 1, 2),
+  r AS (SELECT c.id AS caller_symbol_id, c.qualified_name, c.file_path, c.module_id, CAST(sum(n) AS BIGINT) AS total, CAST(coalesce(sum(n) FILTER (m = c.module_id), 0) AS BIGINT) AS own, (max((n, m)) FILTER (m <> c.module_id))[2] AS foreign_module, max(n) FILTER (m <> c.module_id) AS foreign_calls
+  FROM k JOIN s c ON c.id = caller WHERE c.kind IN ('function', 'method') GROUP BY 1, 2, 3, 4)
+  SELECT *, CASE WHEN own = 0 AND foreign_calls >= 10 THEN 'medium' ELSE 'low' END AS severity FROM r WHERE foreign_calls >= 5 AND foreign_calls >= 3 * greatest(own, 1) AND foreign_calls * 2 >= total""")
+def feature_envy(symbols, calls):
+    """R9, A27."""
+    return R.feature_envy(symbols, calls)
+
+
+@query("modules dependencies", FANS + """, e AS (SELECT source, count(*) AS edges, count(*) FILTER (t.instability > s.instability + 1e-9) AS uphill FROM edges JOIN fans s ON s.name = source JOIN fans t ON t.name = target GROUP BY 1)
+  SELECT source, edges, uphill, round(uphill / edges, 6) AS share, round(greatest(0.5, least(0.95, 0.5 + uphill / edges / 2)), 6) AS confidence FROM e WHERE uphill / edges >= 0.3""")
+def unstable_dependencies(modules, deps):
+    """R27."""
+    edges = C.local_edges(deps)
+    return R.unstable_dependencies(C.fans(modules, edges), edges)
+
+
+def _rank(col: str, floor: int) -> str:
+    return f"(SELECT greatest({floor}, coalesce(max(v), 0)) FROM (SELECT {col} AS v, row_number() OVER (ORDER BY {col}) AS r, count(*) OVER () AS n FROM fans WHERE {col} > 0) WHERE r <= round(0.9 * (n - 1)) + 1)"
+
+
+@query("modules dependencies", FANS + f" SELECT name, fan_in, fan_out, round(greatest(0.5, least(0.99, (fan_in / i + fan_out / o) / 4)), 6) AS confidence FROM fans, (SELECT {_rank('fan_in', 3)} AS i, {_rank('fan_out', 3)} AS o) WHERE fan_in >= i AND fan_out >= o")
+def hub_like(modules, deps):
+    """R26."""
+    return R.hubs(C.fans(modules, C.local_edges(deps)))
+
+
+@query("files complexity file_changes", CHURN + """, c AS (SELECT module_name AS name, count(DISTINCT commit_id) AS churn FROM file_churn GROUP BY 1), x AS (SELECT module_name AS name, sum(cognitive) AS cognitive FROM complexity JOIN files ON path = file_path GROUP BY 1),
+  z AS (SELECT name, churn, cognitive, (churn / greatest(1, max(churn) OVER ()) * 0.5 + cognitive / greatest(1, max(cognitive) OVER ()) * 0.5) * 100 AS score FROM c JOIN x USING (name))
+  SELECT name, round(score, 6) AS score FROM z WHERE churn >= 3 AND cognitive >= 10 AND score >= 10 ORDER BY score DESC, name LIMIT 10""")
+def component_hotspots(files, complexity, changes):
+    """R31."""
+    m = H.churn(files, changes, "module_name").select(F.col("module_name").alias("name"), F.col("commits").alias("churn"))
+    return R.component_hotspots(m.join(C.cognitive_totals(complexity, files).withColumnRenamed("module_name", "name"), "name"))
+
+
+@query("modules dependencies findings", FANS + """, r AS (SELECT name, fan_in, fan_out, fan_in + fan_out AS coupling, length(name) AS churn, fan_in * 3 AS complexity, 0.25 AS fragmentation, fan_out % 3 AS violations FROM fans)
+  , s AS (SELECT *, (churn / greatest(1, max(churn) OVER ()) * 0.25 + coupling / greatest(1, max(coupling) OVER ()) * 0.2 + complexity / greatest(1, max(complexity) OVER ()) * 0.2 + fan_in / greatest(1, max(fan_in) OVER ()) * 0.12 + fan_out / greatest(1, max(fan_out) OVER ()) * 0.13 + fragmentation * 0.07 + violations / greatest(1, max(violations) OVER ()) * 0.03) * 100 AS score FROM r)
+  SELECT name, round(score, 6) AS score, churn, fan_in, fan_out, coupling, complexity, round(CAST(fragmentation AS DOUBLE), 6) AS fragmentation, violations FROM s WHERE score > 0 ORDER BY score DESC, name LIMIT 15""")
+def weighted_hotspots(modules, deps, findings):
+    """A15, T2; measures that the star schema lacks are simple functions of the fans."""
+    f = C.fans(modules, C.local_edges(deps)).drop("instability")
+    one = lambda e, n: f.select("name", F.expr(e).alias(n))
+    return C.scored_hotspots(f, one("CAST(length(name) AS BIGINT)", "churn"), one("fan_in * 3", "complexity"), one("0.25D", "fragmentation"), one("fan_out % 3", "violations"), 15)
+
+
+# ---- graph
+
+
+@query("sparse_dependencies", """, e AS (SELECT DISTINCT target_module AS s, source_module AS t FROM sparse_dependencies WHERE source_module <> target_module), w(node, depth) AS (SELECT (SELECT min(s) FROM e), 0 UNION SELECT t, depth + 1 FROM w JOIN e ON s = node WHERE depth < 3)
+  SELECT node, min(depth) AS depth FROM w GROUP BY 1 HAVING min(depth) > 0""")
+def blast_radius(deps):
+    """Who depends on the first target, within three hops."""
+    edges = C.local_edges(deps)
+    return G.blast_radius(edges, edges.agg(F.min("target").alias("node")))
+
+
+@query("sparse_dependencies", """, e AS (SELECT DISTINCT source_module AS s, target_module AS t FROM sparse_dependencies WHERE source_module <> target_module), w(node) AS (SELECT (SELECT min(s) FROM e) UNION SELECT t FROM w JOIN e ON s = node)
+  SELECT DISTINCT n AS node FROM (SELECT s AS n FROM e UNION SELECT t FROM e) WHERE n NOT IN (SELECT node FROM w)""")
+def unreachable_nodes(deps):
+    """G16."""
+    edges = C.local_edges(deps)
+    nodes = edges.select(F.explode(F.array("source", "target")).alias("node")).distinct()
+    return G.unreachable(nodes, edges, edges.agg(F.min("source").alias("node")))
+
+
+REACH = ", e AS (SELECT DISTINCT source_module AS s, target_module AS t FROM {d} WHERE source_module <> target_module), w(a, b) AS (SELECT s, t FROM e UNION SELECT a, t FROM w JOIN e ON s = b)"
+
+
+@query("dependencies", REACH.format(d="(SELECT * FROM dependencies WHERE NOT is_external) d") + ", p AS (SELECT x.a AS node, x.b AS peer FROM w x JOIN w y ON x.a = y.b AND x.b = y.a) SELECT node, min(least(node, peer)) AS component FROM p GROUP BY 1 HAVING count(*) FILTER (peer <> node) > 0")
+def strong_components(deps):
+    """G4, G5, R25."""
+    return G.strong_components(C.local_edges(deps))
+
+
+@query("cyclic_dependencies", """, e AS (SELECT DISTINCT source_module AS s, target_module AS t FROM cyclic_dependencies), w(path) AS (SELECT [s, t] FROM e WHERE s < t UNION ALL SELECT list_append(path, t) FROM w JOIN e ON s = path[-1] WHERE t > path[1] AND NOT list_contains(path, t) AND len(path) < 12)
+  SELECT path[1] AS first, len(path) AS length, array_to_string(path, ' > ') AS cycle FROM w WHERE EXISTS (SELECT 1 FROM e WHERE s = path[-1] AND t = path[1])""")
+def elementary_cycles(deps):
+    """G6, G7."""
+    return G.elementary_cycles(C.local_edges(deps), per_component=1000).select(F.col("cycle")[0].alias("first"), F.col("length").cast("long").alias("length"), F.array_join("cycle", " > ").alias("cycle"))
+
+
+@query("dependencies", EDGES + " SELECT target AS node, count(*) AS users FROM edges GROUP BY 1 HAVING count(*) > 4")
+def support_library(deps):
+    """G12."""
+    return G.support_library(C.local_edges(deps), 4)
+
+
+@query("sparse_dependencies")
+def subsystem_clusters(deps):
+    """Grouped function, no SQL form."""
+    return G.subsystems(C.local_edges(deps), threshold=6).select("node", "subsystem", "role")
+
+
+@query("texts", """, l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS token, generate_subscripts(string_split(text, chr(10)), 1) AS k FROM texts), w AS (SELECT doc_id, k, list(token) OVER (PARTITION BY doc_id ORDER BY k ROWS BETWEEN CURRENT ROW AND 2 FOLLOWING) AS run FROM l),
+  p AS (SELECT doc_id, k, run FROM w WHERE len(run) = 3), f AS (SELECT run, min((doc_id, k)) AS f FROM p GROUP BY 1 HAVING count(*) > 1), d AS (SELECT f[1] AS first_file, f[2] AS first_at, doc_id AS file, k FROM p JOIN f USING (run) WHERE f[1] <> doc_id OR abs(k - f[2]) >= 3),
+  i AS (SELECT *, k - first_at AS shift, k - row_number() OVER (PARTITION BY first_file, file, k - first_at ORDER BY k) AS island FROM d)
+  SELECT first_file, min(first_at) - 1 AS first_at, file, min(k) - 1 AS "at", count(*) + 2 AS length FROM i GROUP BY first_file, file, shift, island""")
+def clone_runs(texts):
+    """Duplicate runs of three lines or more."""
+    lines = texts.select(F.col("doc_id").alias("file"), F.posexplode(F.split("text", "\n")).alias("at", "token"))
+    return G.clone_runs(lines.select("file", F.col("at").cast("long").alias("at"), "token"), 3)
+
+
+# ---- sets, snapshots, windows
+
+
+DIFF = ", o AS (SELECT DISTINCT * FROM snapshot_old WHERE source_module <> target_module), n AS (SELECT DISTINCT * FROM snapshot_new WHERE source_module <> target_module), diff AS (SELECT *, 'added' AS change FROM (SELECT * FROM n EXCEPT SELECT * FROM o) UNION ALL SELECT *, 'removed' FROM (SELECT * FROM o EXCEPT SELECT * FROM n))"
+
+
+@query("snapshot_old snapshot_new", DIFF + " SELECT * FROM diff")
+def snapshot_dependency_diff(old, new):
+    """P1, P2."""
+    return S.dependency_diff(old, new)
+
+
+@query("snapshot_old snapshot_new", DIFF + " SELECT a AS added, r AS removed, CASE WHEN a >= 10 THEN 'high' WHEN a + r > 0 THEN 'medium' ELSE 'low' END AS risk FROM (SELECT count(*) FILTER (change = 'added') AS a, count(*) FILTER (change = 'removed') AS r FROM diff)")
+def snapshot_diff_risk(old, new):
+    """The band."""
+    return S.diff_risk(S.dependency_diff(old, new))
+
+
+@query("snapshot_old snapshot_new", " SELECT DISTINCT * FROM snapshot_old INTERSECT SELECT DISTINCT * FROM snapshot_new")
+def ratchet(old, new):
+    """P5."""
+    return S.ratchet(old, new, ["source_module", "target_module", "specifier"])
+
+
+@query("old_files new_files", " SELECT path, CASE WHEN o.content_hash IS NULL THEN 'added' WHEN n.content_hash IS NULL THEN 'removed' ELSE 'changed' END AS change FROM old_files o FULL JOIN new_files n USING (path) WHERE o.content_hash IS DISTINCT FROM n.content_hash")
+def snapshot_file_diff(old, new):
+    """J11."""
+    return S.file_diff(old, new)
+
+
+@query("old_files new_files", " SELECT path, CASE WHEN o.content_hash IS NULL THEN 'add' WHEN n.content_hash IS NULL THEN 'remove' ELSE 'update' END AS action FROM old_files o FULL JOIN new_files n USING (path) WHERE o.content_hash IS DISTINCT FROM n.content_hash")
+def differential_sync(old, new):
+    """K1, K2."""
+    return S.differ(old, new, "path", "content_hash")
+
+
+@query("old_files new_files", " SELECT path AS identity, 'new' AS state FROM new_files ANTI JOIN old_files USING (path) UNION ALL SELECT path, 'resolved' FROM old_files ANTI JOIN new_files USING (path)")
+def findings_new_resolved(old, new):
+    """J9, J10."""
+    return S.split_findings(old.select(F.col("path").alias("identity")), new.select(F.col("path").alias("identity")))
+
+
+@query("snapshot_metrics", " SELECT metric_name, place, value, value - lag(value) OVER (PARTITION BY metric_name ORDER BY place) AS delta FROM snapshot_metrics")
+def metric_history(metrics):
+    """W2."""
+    return S.metric_history(metrics)
+
+
+@query("snapshot_metrics", " SELECT metric_name, arg_min(value, place) AS first, arg_max(value, place) AS last, arg_max(value, place) - arg_min(value, place) AS change, min(value) AS least, max(value) AS most FROM snapshot_metrics GROUP BY 1")
+def metric_summary(metrics):
+    """W2."""
+    return S.metric_summary(metrics)
+
+
+@query("snapshot_metrics", """, p AS (SELECT metric_name, coalesce(sum(value) FILTER (place = 3), 0) AS base, coalesce(sum(value) FILTER (place = 5), 0) AS head FROM snapshot_metrics WHERE place IN (3, 5) GROUP BY 1)
+  SELECT metric_name, round(base::DOUBLE, 6) AS base, round(head::DOUBLE, 6) AS head, round((head - base)::DOUBLE, 6) AS delta, round(CASE WHEN base = 0 THEN CASE WHEN head = 0 THEN 0 ELSE 100 END ELSE (head - base)::DOUBLE * 100 / base::DOUBLE END, 6) AS percent FROM p WHERE base <> 0 OR head <> 0""")
+def metric_drift(metrics):
+    """P6, W7."""
+    return S.drift(metrics.withColumn("value", F.col("value").cast("double")), 3, 5)
+
+
+@query("snapshot_metrics", " SELECT * FROM (SELECT snapshot_id, place, metric_name, value FROM snapshot_metrics WHERE metric_name = 'click' ORDER BY place DESC LIMIT 12) ORDER BY place")
+def last_metric_points(metrics):
+    """T6."""
+    return S.last_points(metrics, "click", 12)
+
+
+@query("user_events", " SELECT user_id, event_type, event_id, row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id) - 1 AS ordinal FROM user_events")
+def repeat_ordinals(events):
+    """W4, W5."""
+    return S.with_ordinals(events, ["user_id", "event_type"], ["event_id"]).select("user_id", "event_type", "event_id", F.col("ordinal").cast("long").alias("ordinal"))
+
+
+@query("findings", ", r AS (SELECT *, row_number() OVER (PARTITION BY title ORDER BY id) AS r FROM findings) SELECT id, title FROM r WHERE r <= 2 ORDER BY title, id LIMIT 40")
+def capped_matches(findings):
+    """T4."""
+    return S.capped(findings.select("id", "title"), "title", ["id"], 2, 40)
+
+
+@query("findings", " SELECT id, title, severity FROM findings ORDER BY title, id LIMIT 25 OFFSET 10")
+def finding_page(findings):
+    """T3."""
+    return S.page(findings.select("id", "title", "severity"), ["title", "id"], 10, 25)
+
+
+# ---- text
+
+
+@query("texts", ", l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM texts) SELECT doc_id, regexp_extract(line, 'token = \"([0-9a-f]{20,})\"', 1) AS value FROM l WHERE regexp_matches(line, 'token = \"[0-9a-f]{20,}\"')")
+def high_entropy_tokens(texts):
+    """Values bound to a secret's name; hex needs 3 bits a character."""
+    lines = texts.select("doc_id", F.explode(F.split("text", "\n")).alias("line")).select("doc_id", F.regexp_extract("line", 'token = "([0-9a-f]{20,})"', 1).alias("value"))
+    return lines.where(F.col("value") != "").where(T.high_entropy_secret(F.col("value")))
+
+
+@query("pages", " SELECT page_id, unnest(regexp_extract_all(html, 'href=\"([^\"]*)\"', 1)) AS link FROM pages")
+def html_links(pages):
+    """S21."""
+    return pages.select("page_id", F.explode(F.regexp_extract_all("html", F.lit(r'href="([^"]*)"'), 1)).alias("link"))
+
+
+@query("messages", ", l AS (SELECT conv_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS n FROM messages WHERE turn = 0), m AS (SELECT conv_id, n AS line_number, line[1:160] AS line, row_number() OVER (PARTITION BY conv_id ORDER BY n) AS r FROM l WHERE regexp_matches(line, '(?i)the [a-z]+')) SELECT conv_id, line_number, line FROM m WHERE r <= 5 ORDER BY conv_id, line_number LIMIT 50")
+def text_search(messages):
+    """X27, T4."""
+    return T.grep(messages.where("turn = 0"), "the [a-z]+", key="conv_id").select("conv_id", F.col("line_number").cast("long").alias("line_number"), "line")
+
+
+@query("files", " SELECT path, 'file:' || left(sha256(path || chr(0) || module_name || chr(0)), 24) AS id FROM files")
+def stable_ids(files):
+    """X1."""
+    return files.select("path", T.stable_id("file", F.col("path"), F.col("module_name")).alias("id"))
+
+
+@query("modules", " SELECT name, levenshtein(lower(name), 'nation_41') AS distance FROM modules WHERE levenshtein(lower(name), 'nation_41') <= 2 ORDER BY 2, 1 LIMIT 5")
+def did_you_mean(modules):
+    """T9, X6."""
+    d = T.label_distance(F.col("name"), "nation_41")
+    return modules.select("name", d.cast("long").alias("distance")).where("distance <= 2").orderBy("distance", "name").limit(5)
+
+
+@query("symbols complexity", " SELECT c.file_path, c.line, arg_min(s.qualified_name, (s.end_line - s.start_line, s.qualified_name)) AS symbol FROM complexity c JOIN symbols s ON s.file_path = c.file_path AND c.line BETWEEN s.start_line AND s.end_line GROUP BY 1, 2")
+def enclosing_symbols(symbols, complexity):
+    """J17."""
+    return R.enclosing_symbol(complexity.select("file_path", "line").distinct(), symbols)
