@@ -33,12 +33,16 @@ def looks_generated(path: Column, content: Column) -> Column:
 
 def ignore_rules(spark: SparkSession, root: str) -> list[tuple[str, bool]]:
     """(regex, negated) of the root's .gitignore, in order."""
-    try:
-        lines = [r["value"].strip() for r in spark.read.text(f"{root}/.gitignore").collect()]
-    except Exception as e:  # noqa: BLE001  a repository without one
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
+    jvm = spark.sparkContext._jvm  # Spark's own readers skip files whose name begins with a dot
+    path = jvm.org.apache.hadoop.fs.Path(f"{root}/.gitignore")
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(path):
         return []
+    stream = fs.open(path)
+    try:
+        lines = [x.strip() for x in jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8").splitlines()]
+    finally:
+        stream.close()
     out = []
     for line in lines:
         if line and not line.startswith("#"):
