@@ -180,7 +180,9 @@ class ArchiveReader(DataSourceReader):
             files = json.loads(f.read())
         return [Range(f"{self.folder}/{x['path']}", x["size"], at, at + self.span) for x in files for at in range(0, x["size"], self.span)]
 
-    def read(self, part: Range) -> Iterator[pa.RecordBatch]:
+    def read(self, part: Range | None) -> Iterator[pa.RecordBatch]:
+        if part is None:  # no archives, so no ranges
+            return
         fs, name = filesystem(part.path)
         names = ["doc_id", "media"]
 
