@@ -43,16 +43,9 @@ HEX = re.compile(r"[0-9a-f]+")
 WINDOW = 24
 #: Bits a character in a window of 24 from which a class counts as random (log2 of 24 is 4.58).
 THRESHOLD = {"entropy_digits": 3.1, "entropy_hex": 3.3, "entropy_alnum": 4.0, "entropy_base64": 4.1}
-#: Longest run that keeps the sliding window's quadratic-free bound is any: counts are incremental.
-ALLOW = tuple(
-    re.compile(x)
-    for x in (
-        r"[0-9a-fA-F]{8}-(?:[0-9a-fA-F]{4}-){3}[0-9a-fA-F]{12}",
-        r"[0-9./:+_-]*",  # dates, versions, numbers with separators
-        r"[^0-9]*",  # no digit: words, rules of dashes
-        r"(?:[A-Za-z_]+[0-9]{0,4}[./_=-]+)*[A-Za-z_]+[0-9]{0,4}[./_=-]*",  # dotted names, paths, snake case
-    )
-)
+UUID = re.compile(r"[0-9a-fA-F]{8}-(?:[0-9a-fA-F]{4}-){3}[0-9a-fA-F]{12}")
+PLAIN = re.compile(r"[0-9./:+_=-]*|[^0-9]*")  # dates, versions, numbers with separators; words and rules without a digit
+SEPARATORS, DIGITS, TURNS = re.compile(r"[./_=-]+"), re.compile(r"[0-9]+"), re.compile(r"[a-z](?=[A-Z])")
 PLACEHOLDER = re.compile(r"example|sample|dummy|placeholder|xxxx|changeme|redacted|lorem", re.IGNORECASE)
 TABLE = np.zeros(256, np.uint8)
 TABLE[[ord(c) for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_.=-"]] = 1
@@ -67,9 +60,18 @@ def char_class(run: str) -> str:
     return "entropy_alnum" if run.isalnum() else "entropy_base64"
 
 
+def wordy(part: str) -> bool:
+    """A name: at most two numbers of at most four digits, at most three humps."""
+    numbers = DIGITS.findall(part)
+    return len(numbers) <= 2 and all(len(n) <= 4 for n in numbers) and len(TURNS.findall(part)) <= 3
+
+
 def allowed(run: str) -> bool:
-    """Is this candidate on the allow list?"""
-    return any(p.fullmatch(run) for p in ALLOW) or bool(PLACEHOLDER.search(run))
+    """Is this candidate on the allow list: a UUID, numbers, words, a placeholder, or a path or dotted name of wordy parts?"""
+    if UUID.fullmatch(run) or PLAIN.fullmatch(run) or PLACEHOLDER.search(run):
+        return True
+    parts = [p for p in SEPARATORS.split(run) if p]
+    return len(parts) > 1 and all(map(wordy, parts))
 
 
 def entropy_spans(run: str, window: int = WINDOW, threshold: dict[str, float] = THRESHOLD) -> list[tuple[str, int, int]]:
