@@ -5,7 +5,7 @@ from pathlib import Path
 import pytest
 
 ROOT = Path(__file__).resolve().parents[2]
-sys.path.insert(0, str(ROOT))
+sys.path[:0] = [str(ROOT), str(Path(__file__).parent)]
 DATA = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
 

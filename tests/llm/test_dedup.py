@@ -2,39 +2,13 @@ import hashlib
 import random
 
 import numpy as np
-import xxhash
+from tests_llm_helpers import brute_components, brute_fp
 
 from lodestar.llm import components as C
 from lodestar.llm import exact_dedup as X
 from lodestar.llm import simhash as S
 
 
-def brute_fp(text):
-    ws = (text or "").encode().lower().split()
-    if not ws:
-        return 0
-    n = min(3, len(ws))
-    hs = [xxhash.xxh64_intdigest(b" ".join(ws[i : i + n]), 42) for i in range(len(ws) - n + 1)]
-    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hs) > len(hs))
-
-
-def brute_components(fps):
-    root = list(range(len(fps)))
-
-    def find(i):
-        while root[i] != i:
-            root[i] = root[root[i]]
-            i = root[i]
-        return i
-
-    for i in range(len(fps)):
-        for j in range(i):
-            if (fps[i] ^ fps[j]).bit_count() <= 2:
-                a, b = find(i), find(j)
-                root[max(a, b)] = min(a, b)
-    return [find(i) for i in range(len(fps))]
-
-
 def held(rows, texts):
     """Rows (doc_id, fingerprint, component_id) against brute force over (doc_id, text)."""
     fps = [brute_fp(t) for _, t in texts]
