@@ -110,9 +110,9 @@ def read_lcov(spark: SparkSession, path: str, root: str = "") -> DataFrame:
     best = items.groupBy("file", "kind", "item").agg(F.max("hits").alias("hits"))
     count = lambda k, c: F.count_if((F.col("kind") == k) & c)
     total = lambda k: F.coalesce(F.max(F.when(F.col("kind") == k, F.col("hits"))), F.lit(0))
-    out = best.groupBy(F.col("file").alias("file_path")).agg(count("DA", F.lit(True)).alias("lf"), count("DA", F.col("hits") > 0).alias("lh"), count("FN", F.lit(True)).alias("ff"), count("FN", F.col("hits") > 0).alias("fh"), total("LF").alias("LF"), total("LH").alias("LH"), total("FNF").alias("FNF"), total("FNH").alias("FNH"))
+    out = best.groupBy(F.col("file").alias("file_path")).agg(count("DA", F.lit(True)).alias("lf"), count("DA", F.col("hits") > 0).alias("lh"), count("FN", F.lit(True)).alias("ff"), count("FN", F.col("hits") > 0).alias("fh"), total("LF").alias("s_lf"), total("LH").alias("s_lh"), total("FNF").alias("s_ff"), total("FNH").alias("s_fh"))
     pick = lambda a, d, s, name: F.when(F.col(a) > 0, F.col(d)).otherwise(F.col(s)).alias(name)
-    return out.select("file_path", pick("lf", "lf", "LF", "lines_found"), pick("lf", "lh", "LH", "lines_hit"), pick("ff", "ff", "FNF", "functions_found"), pick("ff", "fh", "FNH", "functions_hit"))
+    return out.select("file_path", pick("lf", "lf", "s_lf", "lines_found"), pick("lf", "lh", "s_lh", "lines_hit"), pick("ff", "ff", "s_ff", "functions_found"), pick("ff", "fh", "s_fh", "functions_hit"))
 
 
 def read_npm_lockfile(spark: SparkSession, path: str) -> DataFrame:
