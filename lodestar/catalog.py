@@ -18,6 +18,8 @@ from .operators import graph as G
 from .operators import history as H
 from .operators import rules as R
 from .operators import snapshots as S
+from .plans import architecture as A
+from .plans import review as V
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -514,3 +516,121 @@ def did_you_mean(modules):
 def enclosing_symbols(symbols, complexity):
     """J17."""
     return R.enclosing_symbol(complexity.select("file_path", "line").distinct(), symbols)
+
+
+# ---- further joins, rules and contract forms
+
+
+@query("symbols", """, m AS (SELECT file_path, regexp_extract(qualified_name, '^(.*)\\.[^.]*$', 1) AS owner, end_line - start_line + 1 AS n FROM symbols WHERE kind = 'method'), k AS (SELECT owner, count(*) AS methods, CAST(sum(n) AS BIGINT) AS lines FROM m GROUP BY 1)
+  SELECT owner, methods, lines, CASE WHEN methods >= 14 THEN 'medium' ELSE 'low' END AS severity FROM k WHERE methods >= 10""")
+def large_classes(symbols):
+    """Brands stand for classes, all in one file."""
+    flat = symbols.withColumn("file_path", F.lit("src/x.ts")).withColumn("end_line", F.col("end_line").cast("long"))
+    types = flat.where("kind = 'method'").select("file_path", F.lit("class").alias("kind"), F.regexp_extract("qualified_name", r"^(.*)\.", 1).alias("qualified_name")).distinct()
+    return R.large_classes(flat.where("kind = 'method'").select("file_path", "kind", "qualified_name", "start_line", "end_line").unionByName(types, allowMissingColumns=True), 10, 14).select("owner", "methods", "lines", "severity")
+
+
+@query("user_events", """, f AS (SELECT user_id AS function, list_sort(list(DISTINCT event_type || CAST(event_id % 4 AS STRING))) AS names FROM user_events WHERE event_id % 6 = 0 GROUP BY 1), n AS (SELECT function, list_slice(names, 1, 12) AS names FROM f),
+  e AS (SELECT function, unnest(names) AS a FROM n), t AS (SELECT x.function, [x.a, y.a, z.a] AS triple FROM e x JOIN e y ON x.function = y.function AND x.a < y.a JOIN e z ON z.function = y.function AND y.a < z.a),
+  s AS (SELECT triple, list_sort(list(DISTINCT function)) AS functions FROM t GROUP BY 1 HAVING count(DISTINCT function) >= 3), g AS (SELECT functions, list_sort(list_distinct(flatten(list(triple)))) AS names FROM s GROUP BY 1)
+  SELECT functions, names, CASE WHEN len(names) >= 4 AND len(functions) >= 4 THEN 'medium' ELSE 'low' END AS severity FROM g""")
+def data_clumps(events):
+    """Users stand for functions, event kinds for parameter names."""
+    names = events.where("event_id % 6 = 0").groupBy(F.col("user_id").alias("function")).agg(F.collect_set(F.concat("event_type", (F.col("event_id") % 4).cast("string"))).alias("names"))
+    return R.data_clumps(names)
+
+
+@query("files complexity", """, v AS (SELECT DISTINCT module_name AS name, CAST(line % 9 AS STRING) || '.' || CAST(cyclomatic AS STRING) || '.0' AS version, [line % 9, cyclomatic, 0] AS v FROM files JOIN complexity ON file_path = path)
+  SELECT 'x' AS ecosystem, name, version, 'A-' || name AS advisory, 'high' AS severity FROM v WHERE (v >= [1, 4, 0] AND v < [3, 10, 0]) OR (v >= [5, 0, 0] AND v <= [5, 11, 0])""")
+def version_audit(files, complexity):
+    """Two affected ranges, one closed by a fix, one by its last affected version."""
+    packages = files.join(complexity, files.path == complexity.file_path).select(F.lit("x").alias("ecosystem"), F.col("module_name").alias("name"), F.concat_ws(".", (F.col("line") % 9).cast("string"), F.col("cyclomatic").cast("string"), F.lit("0")).alias("version")).distinct()
+    event = lambda **k: F.struct(*[F.lit(k.get(c)).cast("string").alias(c) for c in ("introduced", "fixed", "last_affected")])
+    events = F.array(event(introduced="1.4"), event(fixed="3.10.0"), event(introduced="5.0.0"), event(last_affected="5.11.0"))
+    advisories = files.select(F.lit("x").alias("ecosystem"), F.col("module_name").alias("name")).distinct().select(F.concat(F.lit("A-"), "name").alias("id"), "ecosystem", "name", F.lit(None).cast("string").alias("severity"), events.alias("events"))
+    return R.audit(packages, advisories)
+
+
+@query("files", " SELECT path, CASE WHEN path LIKE 'src/m1/%' THEN 'one' WHEN path LIKE 'src/m1%' THEN 'teens' WHEN path LIKE 'src/%' THEN 'rest' END AS component FROM files")
+def component_assignment(files):
+    """The most specific glob wins."""
+    return R.assign_components(files, [("rest", "src/**"), ("teens", "src/m1*/**"), ("one", "src/m1/**")]).select("path", "component")
+
+
+@query("files", """, t AS (SELECT path, unnest([array_to_string(string_split(path, '/')[i:], '/') for i in range(1, len(string_split(path, '/')) + 1)]) AS suffix FROM files), k AS (SELECT suffix, min(path) AS path FROM t GROUP BY 1 HAVING count(*) = 1)
+  SELECT path, count(*) AS unique_suffixes FROM k GROUP BY 1""")
+def suffix_index(files):
+    """Suffixes that name one file."""
+    from .plans.resolve import suffixes
+
+    tails = suffixes(files.withColumn("language", F.lit("python"))).where("suffix LIKE '*/%'")
+    once = tails.groupBy("suffix").agg(F.min("path").alias("path"), F.count(F.lit(1)).alias("n")).where("n = 1")
+    return once.groupBy("path").agg(F.count(F.lit(1)).alias("unique_suffixes"))
+
+
+@query("file_changes", """, c AS (SELECT commit_id, file_path FROM file_changes UNION ALL SELECT commit_id, regexp_replace(file_path, '/[^/]*$', '') FROM file_changes WHERE commit_id % 5 = 0)
+  SELECT commit_id, file_path FROM c WHERE NOT EXISTS (SELECT 1 FROM file_changes d WHERE d.commit_id = c.commit_id AND starts_with(d.file_path, c.file_path || '/'))""")
+def leaf_changes(changes):
+    """Rows that name a folder go."""
+    from .functions.paths import parent
+
+    folders = changes.where("commit_id % 5 = 0").select("commit_id", parent(F.col("file_path")).alias("file_path"))
+    return V.leaf_changes(changes.select("commit_id", "file_path").unionByName(folders))
+
+
+@query("complexity symbols coverage", """, t AS (SELECT DISTINCT file_path AS f, line AS l FROM complexity), r AS (SELECT file_path AS p, lines_hit AS a, lines_found AS b FROM coverage)
+  SELECT s.id, s.file_path AS file FROM symbols s WHERE EXISTS (SELECT 1 FROM t JOIN r ON f = p AND l BETWEEN a AND b WHERE f = s.file_path AND l BETWEEN s.start_line AND s.end_line)""")
+def changed_clone_tokens(complexity, symbols, coverage):
+    """Symbols stand for clone instances, coverage counts for changed ranges."""
+    clones = symbols.select("id", F.col("file_path").alias("file"), "start_line", "end_line")
+    tokens = complexity.select(F.col("file_path").alias("file"), "line")
+    return V.holds_changed_token(clones, tokens, coverage.select(F.col("file_path").alias("path"), F.col("lines_hit").alias("start"), F.col("lines_found").alias("end"))).select("id", "file")
+
+
+@query("dependencies", " SELECT source_module, target_module, count(*) AS imports FROM dependencies WHERE NOT is_external AND source_module <> target_module GROUP BY 1, 2")
+def declared_edges(deps):
+    """A31."""
+    return A.declared_edges(deps)
+
+
+@query("files", " SELECT module_name, 'src/' || module_name || '/**' AS glob FROM (SELECT DISTINCT module_name FROM files)")
+def draft_globs(files):
+    """The folder that holds a module."""
+    return A.common_folder(files)
+
+
+@query("brand_changes files", """, s AS (SELECT commit_id FROM brand_changes GROUP BY 1 HAVING count(*) BETWEEN 2 AND 30), r AS (SELECT * FROM brand_changes SEMI JOIN s USING (commit_id)), p AS (SELECT a.file_path AS a, b.file_path AS b, count(*) AS n FROM r a JOIN r b ON a.commit_id = b.commit_id AND a.file_path < b.file_path GROUP BY 1, 2 HAVING count(*) >= 4)
+  SELECT a, b, n, CASE WHEN right(a, 1) = right(b, 1) THEN 'change_coupling' ELSE 'modularity_violation' END AS kind,
+  CASE WHEN right(a, 1) = right(b, 1) THEN 'low' WHEN n >= 8 THEN 'high' ELSE 'medium' END AS severity, round(CASE WHEN right(a, 1) = right(b, 1) THEN 0.6 ELSE greatest(0.6, least(0.95, 0.6 + n / 16)) END, 6) AS confidence FROM p""")
+def change_couplings(changes, files):
+    """An edge stands between brands that end in the same digit."""
+    brands = changes.select("file_path").distinct()
+    x, y = brands.select(F.col("file_path").alias("source")), brands.select(F.col("file_path").alias("target"))
+    edges = x.join(y, (F.substring("source", -1, 1) == F.substring("target", -1, 1)) & (F.col("source") < F.col("target")))
+    pairs = H.raw_co_changes(changes, 4).select(F.col("left_path").alias("a"), F.col("right_path").alias("b"), "n")
+    return R.change_couplings(pairs, edges)
+
+
+@query("dependencies", " SELECT source_module, specifier, 'banned-import/ones' AS rule_name FROM dependencies WHERE specifier LIKE 'pkg/nation_1%' UNION ALL SELECT source_module, specifier, 'banned-import/nines' FROM dependencies WHERE specifier LIKE '%9'")
+def banned_imports(deps):
+    """R2, F4."""
+    return R.banned_imports(deps, {"ones": "pkg/nation_1*", "nines": "*9"})
+
+
+@query("dependencies modules", " SELECT specifier, min((source_module, evidence_line))[1] AS site, min((source_module, evidence_line))[2] AS line FROM dependencies GROUP BY 1")
+def first_import_sites(deps, modules):
+    """A30, R4."""
+    return C.first_import_sites(deps)
+
+
+@query("old_files new_files", " SELECT path, 'unused-dependency' AS rule_name FROM old_files ANTI JOIN new_files USING (path)")
+def unused_dependencies(old, new):
+    """Declared paths that nothing imports."""
+    declared = old.select(F.col("path").alias("name"), F.lit("runtime").alias("scope"))
+    return R.unused_dependencies(declared, new.select(F.col("path").alias("name"))).select(F.col("name").alias("path"), "rule_name")
+
+
+@query("findings", " SELECT id, severity FROM findings WHERE lower(title) LIKE '%f1%' OR lower(file_path) LIKE '%f1%'")
+def scoped_findings(findings):
+    """F10."""
+    return R.touching(findings, "F1").select("id", "severity")

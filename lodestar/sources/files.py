@@ -142,6 +142,13 @@ def read_manifests(spark: SparkSession, root: str, depth: int = 6) -> DataFrame:
     return docs.select("manifest_path", F.explode(each).alias("d")).select("manifest_path", "d.name", "d.scope")
 
 
+def cargo_roots(spark: SparkSession, root: str) -> DataFrame:
+    """(manifest_path, crate, folder) of every Cargo.toml with a package; dashes become underscores as in code."""
+    docs = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "Cargo.toml").text(root, wholetext=True).withColumn("manifest_path", F.input_file_name()).where(~F.col("manifest_path").contains("/target/"))
+    name = F.regexp_extract("value", r'(?s)\[package\][^\[]*?\bname\s*=\s*"([^"]+)"', 1)
+    return docs.select("manifest_path", F.translate(name, "-", "_").alias("crate"), F.regexp_replace("manifest_path", "/Cargo.toml$", "").alias("folder")).where("crate <> ''")
+
+
 def html_scripts(pages: DataFrame, html: str = "html") -> DataFrame:
     """The local ``src`` of every script tag of a page."""
     src = F.regexp_extract_all(html, F.lit(r"""(?i)<script\b[^>]*\bsrc\s*=\s*["']([^"']+)["']"""), 1)

@@ -242,3 +242,48 @@ def test_suppressions(spark):
 def test_nearest_rank(spark):
     df = spark.createDataFrame([(v,) for v in (0, 5, 1, 3, 2)], "v int")
     assert C.nearest_rank(df, "v", 0.5).first()["value"] == 3.0 and C.nearest_rank(df.limit(0), "v", 0.5).first()["value"] == 0.0  # round half up of 1.5 is the third
+
+
+def test_architecture_draft_and_fit(spark):
+    from lodestar.plans import architecture as A
+
+    files = spark.createDataFrame([("app/api/a.ts", "api"), ("app/api/b.ts", "api"), ("app/core/x/i.ts", "core"), ("app/core/y/j.ts", "core")], "path string, module_name string")
+    deps = spark.createDataFrame([("api", "core", "app/core/x/i.ts", False)] * 4 + [("api", "core", "app/core/y/j.ts", False)], "source_module string, target_module string, target_file_path string, is_external boolean")
+    got = {r["module_name"]: (r["glob"], r["depends_on"], r["interface"]) for r in A.draft(files, deps).collect()}
+    assert got == {"api": ("app/api/**", ["core"], None), "core": ("app/core/**", [], "app/core/x/i.ts")}
+    c = Contract.parse('[component.api]\npaths = ["src/api/**"]\ndepends_on = ["core"]\n[component.core]\npaths = ["src/core/**"]\n')
+    edges = spark.createDataFrame([("app/api/a.ts", "app/core/x/i.ts"), ("app/core/x/i.ts", "app/api/b.ts")], "source string, target string")
+    assert A.template_fit(c, "src/", files, edges) == ("app", 0.5)
+
+
+def test_review(spark):
+    from lodestar.plans import review as V
+
+    f = spark.createDataFrame([("security/eval", "high"), ("complexity", "low")], "rule_name string, severity string")
+    none = f.limit(0)
+    got = V.review(f, none, none)
+    assert got["risk"] == "high" and got["fails"] and not V.review(f.where("severity = 'low'"), none, none)["fails"]
+    assert V.fails("any", 0, 0, 1, -1) and not V.fails("medium", 5, 0, 1, 0) and V.risk("low", 0, 1) == "medium"
+
+
+def test_mechanical_fixes(tmp_path):
+    import json
+
+    from lodestar.plans import fixes as X
+
+    (tmp_path / "a.ts").write_text("export function f() {}\nexport { g, h as i };\n// lodestar-ignore\nconst z = 1;\n")
+    (tmp_path / "dead.ts").write_text("x\n")
+    (tmp_path / "package.json").write_text('{"dependencies": {"old": "1", "kept": "2"}}')
+    found = [{"rule_name": "unused-export", "file_path": "a.ts", "line": 1, "name": "f"}, {"rule_name": "unused-export", "file_path": "a.ts", "line": 2, "name": "i"}, {"rule_name": "stale-suppression", "file_path": "a.ts", "line": 3}, {"rule_name": "unused-file", "file_path": "dead.ts"}, {"rule_name": "unused-dependency", "file_path": "package.json", "name": "old"}, {"rule_name": "complexity", "file_path": "a.ts"}]
+    edits = X.plan(str(tmp_path), found)
+    before = (tmp_path / "a.ts").read_text()
+    assert len(X.apply(str(tmp_path), edits)) == 5 and (tmp_path / "a.ts").read_text() == before and (tmp_path / "dead.ts").exists()
+    X.apply(str(tmp_path), edits, write=True)
+    assert (tmp_path / "a.ts").read_text() == "function f() {}\nexport { g };\nconst z = 1;\n" and not (tmp_path / "dead.ts").exists()
+    assert json.loads((tmp_path / "package.json").read_text()) == {"dependencies": {"kept": "2"}}
+
+
+def test_cargo_roots(spark, tmp_path):
+    (tmp_path / "c").mkdir()
+    (tmp_path / "c/Cargo.toml").write_text('[package]\nname = "my-crate"\nversion = "1"\n')
+    assert [(r["crate"], r["folder"].endswith("/c")) for r in SF.cargo_roots(spark, str(tmp_path)).collect()] == [("my_crate", True)]
