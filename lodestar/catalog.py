@@ -24,17 +24,16 @@ from .plans import review as V
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
-CANONICAL = """, renames AS (SELECT DISTINCT previous_path, file_path FROM file_changes WHERE previous_path IS NOT NULL AND previous_path <> file_path),
-walk(path, current_path, depth) AS (SELECT DISTINCT file_path, file_path, 0 FROM file_changes UNION ALL
-  SELECT w.path, r.file_path, w.depth + 1 FROM walk w JOIN renames r ON r.previous_path = w.current_path WHERE w.depth < 20),
-canonical AS (SELECT path, (max((depth, current_path)))[2] AS current_path FROM walk GROUP BY path)"""
-FIXES = CANONICAL + """, fixes AS (SELECT DISTINCT c.id AS commit_id, k.current_path AS path, c.committed_at, epoch(c.committed_at) AS fixed_at
-  FROM file_changes f JOIN commits c ON f.commit_id = c.id JOIN canonical k ON k.path = f.file_path WHERE c.is_fix),
-newest AS (SELECT max(epoch(committed_at)) AS now_at FROM commits),
-file_fixes AS (SELECT f.path, count(*) AS fixes, CAST(sum(CAST(power(0.5, (n.now_at - f.fixed_at) / CAST(180 * 86400 AS DOUBLE)) AS DECIMAL(18,9))) AS DOUBLE) AS mass, max(f.committed_at) AS last_fix_at FROM fixes f, newest n GROUP BY f.path)"""
-OWNERS = """, per_author AS (SELECT file_path, author_email, count(*) AS n FROM file_changes f JOIN commits c ON f.commit_id = c.id GROUP BY ALL),
+CANONICAL = """, moves AS (SELECT previous_path AS was, file_path AS now FROM file_changes WHERE file_path <> previous_path GROUP BY ALL),
+trail(origin, name, hops) AS (SELECT f, f, 0 FROM (SELECT file_path AS f FROM file_changes GROUP BY 1) UNION ALL SELECT t.origin, m.now, t.hops + 1 FROM moves m, trail t WHERE m.was = t.name AND t.hops < 20),
+canonical AS (SELECT origin AS path, (max((hops, name)))[2] AS current_path FROM trail GROUP BY origin)"""
+FIXES = CANONICAL + """, fixes AS (SELECT k.current_path AS path, c.id AS commit_id, c.committed_at, epoch(c.committed_at) AS fixed_at
+  FROM canonical k, commits c, file_changes f WHERE f.file_path = k.path AND f.commit_id = c.id AND c.is_fix GROUP BY ALL),
+newest AS (SELECT epoch(max(committed_at)) AS now_at FROM commits),
+file_fixes AS (SELECT path, count(*) AS fixes, sum((0.5 ** ((now_at - fixed_at) / 15552000))::DECIMAL(18,9))::DOUBLE AS mass, max(committed_at) AS last_fix_at FROM fixes, newest GROUP BY path)"""
+OWNERS = """, per_author AS (SELECT file_path, author_email, count(*) AS n FROM commits c, file_changes f WHERE c.id = f.commit_id GROUP BY ALL),
 shares AS (SELECT file_path, n, n / sum(n) OVER (PARTITION BY file_path) AS share FROM per_author),
-owners AS (SELECT file_path, max(share) AS ownership, count(*) FILTER (share < 0.05) AS minor_contributors, count(*) FILTER (share >= 0.05) AS major_contributors, CAST(sum(n) AS BIGINT) AS total_commits FROM shares GROUP BY file_path)"""
+owners AS (SELECT file_path, max(share) AS ownership, count_if(share < 0.05) AS minor_contributors, count_if(share >= 0.05) AS major_contributors, CAST(sum(n) AS BIGINT) AS total_commits FROM shares GROUP BY file_path)"""
 EDGES = ", edges AS (SELECT DISTINCT source_module AS source, target_module AS target FROM dependencies WHERE NOT is_external AND source_module <> target_module)"
 FANS = EDGES + """, fans AS (SELECT name, coalesce(i, 0) AS fan_in, coalesce(o, 0) AS fan_out, CASE WHEN coalesce(i, 0) + coalesce(o, 0) = 0 THEN 0 ELSE coalesce(o, 0) / (coalesce(i, 0) + coalesce(o, 0)) END AS instability
   FROM modules LEFT JOIN (SELECT target AS t, count(*) AS i FROM edges GROUP BY 1) ON t = name LEFT JOIN (SELECT source AS s, count(*) AS o FROM edges GROUP BY 1) ON s = name)"""
@@ -200,7 +199,7 @@ def file_fix_history(changes, commits):
 
 
 @query("file_changes commits files", FIXES + """, m AS (SELECT DISTINCT module_name, commit_id, committed_at, fixed_at FROM fixes JOIN files USING (path))
-  SELECT module_name, count(*) AS fixes, round(CAST(sum(CAST(power(0.5, (n.now_at - m.fixed_at) / CAST(180 * 86400 AS DOUBLE)) AS DECIMAL(18,9))) AS DOUBLE), 6) AS mass, max(committed_at) AS last_fix_at FROM m, newest n GROUP BY 1""")
+  SELECT module_name, count(*) AS fixes, round(sum((0.5 ** ((now_at - fixed_at) / 15552000))::DECIMAL(18,9))::DOUBLE, 6) AS mass, max(committed_at) AS last_fix_at FROM m, newest GROUP BY 1""")
 def module_fix_history(changes, commits, files):
     """A4."""
     return H.module_fix_history(files, changes, commits)

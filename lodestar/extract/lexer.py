@@ -21,7 +21,8 @@ BRANCH = frozenset("if for while case catch match loop select".split())
 NEST = frozenset("if for while switch match catch loop select".split())
 FUNCTION = {"function", "func", "fn"}
 TYPES = {"class": "class", "interface": "interface", "struct": "struct", "enum": "enum", "trait": "trait"}
-VERBS = {"get", "post", "put", "delete", "patch", "head", "options", "all"}
+VERBS = frozenset("all delete get head options patch post put".split())
+REQUEST = frozenset("body cookies headers params query".split())
 NOT_CALLS = KEYWORDS | {"sizeof", "typeof", "super"}
 
 
@@ -217,7 +218,7 @@ def extract(text: str, language: str) -> Facts:
             while k < len(toks) and value(k) != "fn":
                 k += 1
             facts.apis.append((value(i + 2).upper(), value(i + 4)[1:-1], value(k + 1), line))
-        elif script and kind == "name" and v in ("req", "request", "ctx") and nxt == "." and value(i + 2) in ("body", "query", "params", "headers", "cookies"):
+        elif script and kind == "name" and v in ("req", "request", "ctx") and nxt == "." and value(i + 2) in REQUEST:
             facts.inputs.append((here(), line))
         if kind == "string":
             facts.string(v[1:-1], line, here())

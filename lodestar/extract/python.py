@@ -9,7 +9,7 @@ from .model import MODULE, Facts
 BRANCHES = (ast.If, ast.For, ast.AsyncFor, ast.While, ast.ExceptHandler, ast.IfExp, ast.match_case)
 NESTING = (ast.If, ast.For, ast.AsyncFor, ast.While, ast.ExceptHandler, ast.IfExp, ast.Match)
 CALLABLES = (ast.FunctionDef, ast.AsyncFunctionDef)
-VERBS = ("get", "post", "put", "delete", "patch", "head", "options", "route")
+VERBS = frozenset("delete get head options patch post put route".split())
 SHELL = {"os.system", "os.popen"}
 
 

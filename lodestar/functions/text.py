@@ -57,10 +57,10 @@ def weak_hash(name: Column) -> Column:
 
 
 FIX_TYPES = ("fix", "bugfix", "hotfix", "patch")
-OTHER_TYPES = ("feat", "feature", "docs", "doc", "chore", "style", "refactor", "test", "tests", "build", "ci", "perf", "release", "deps", "wip")
-CORRECTION = tuple("fix fixes fixed fixing resolve resolves resolved correct corrects corrected repair repairs repaired patch patched workaround".split())
-DEFECT = tuple("bug bugs defect defects crash crashes regression regressions exception panic panics deadlock race leak leaks overflow underflow corruption hang freeze segfault fault misparse".split())
-HOUSEKEEPING = tuple("typo typos spelling grammar wording docs doc documentation readme changelog comment comments lint clippy fmt format formatting whitespace indentation build ci warning warnings version bump dependency dependencies deps test tests flaky release".split())
+OTHER_TYPES = tuple("ci doc wip deps docs feat perf test build chore style tests feature release refactor".split())
+CORRECTION = tuple("fix fixed fixes patch fixing repair correct patched repairs resolve corrects repaired resolved resolves corrected workaround".split())
+DEFECT = tuple("bug bugs hang leak race crash fault leaks panic defect freeze panics crashes defects deadlock misparse overflow segfault exception underflow corruption regression regressions".split())
+HOUSEKEEPING = tuple("ci doc fmt bump deps docs lint test typo build flaky tests typos clippy format readme comment grammar release version warning wording comments spelling warnings changelog dependency formatting whitespace indentation dependencies documentation".split())
 
 
 def fix_confidence(message: Column) -> Column:
@@ -94,7 +94,7 @@ def sql_access(text: Column) -> Column:
     return F.when(text.rlike(r"(?is)^\s*(with\b.*\b)?select\b"), "reads").when(text.rlike(r"(?is)\b(insert\s+into|update|delete\s+from|create\s+table|alter\s+table|truncate)\b"), "writes")
 
 
-BUILTINS = tuple("assert async_hooks buffer child_process cluster console constants crypto dgram diagnostics_channel dns domain events fs http http2 https inspector module net os path perf_hooks process punycode querystring readline repl stream string_decoder sys timers tls trace_events tty url util v8 vm wasi worker_threads zlib".split())
+BUILTINS = tuple("fs os v8 vm dns net sys tls tty url http path repl util wasi zlib dgram http2 https assert buffer crypto domain events module stream timers cluster console process punycode readline constants inspector perf_hooks async_hooks querystring trace_events child_process string_decoder worker_threads diagnostics_channel".split())
 
 
 def package_root(specifier: Column) -> Column:

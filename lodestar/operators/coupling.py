@@ -126,7 +126,7 @@ def self_check(findings: DataFrame, files: DataFrame, fixes: DataFrame) -> DataF
     return rows.crossJoin(F.broadcast(base)).select("rule_name", "files", "bytes", "mass", rate.alias("rate"), F.coalesce(F.try_divide(rate, "base"), F.lit(0.0)).alias("lift"))
 
 
-ROLES = ("controller", "resolver", "route", "handler", "middleware", "service", "usecase", "repository", "dao", "model", "entity")
+ROLES = tuple("controller resolver route handler middleware service usecase repository dao model entity".split())  # high layers first
 
 
 def role_of(path: Column) -> Column:

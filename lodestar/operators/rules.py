@@ -15,7 +15,7 @@ from ..functions.paths import glob_regex, is_test_path
 from .coupling import nearest_rank, severity_rank
 
 COMPLEX_COGNITIVE, COMPLEX_CYCLOMATIC = (25, 15), 10
-IDIOMS = (("err", "next", "req", "res"), ("error", "next", "req", "res"), ("error", "next", "request", "response"), ("callback", "context", "event"))
+IDIOMS = tuple(tuple(x.split()) for x in ("req res next err", "req res next error", "request response next error", "event context callback"))
 
 
 def complexity_findings(complexity: DataFrame) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions.paths import join, parent
 from ..functions.text import package_root
 
-SCRIPT_ENDINGS = ("", ".ts", ".tsx", ".d.ts", ".mts", ".cts", ".js", ".jsx", ".mjs", ".cjs", "/index.ts", "/index.tsx", "/index.js", "/index.jsx")
+SCRIPT_ENDINGS = ("", *".ts .tsx .d.ts .mts .cts .js .jsx .mjs .cjs /index.ts /index.tsx /index.js /index.jsx".split())
 
 
 def candidates(language: Column, path: Column, spec: Column) -> Column:

@@ -87,8 +87,10 @@ CLIMATE = {"critical": "critical", "high": "major", "medium": "minor", "low": "i
 def sarif(findings: DataFrame) -> str:
     """All findings (id, rule_name, severity, title, file_path, line) as SARIF 2.1.0."""
     found = [r.asDict() for r in findings.orderBy("rule_name", "file_path", "line").collect()]
-    results = [{"ruleId": r["rule_name"], "level": LEVEL[r["severity"]], "message": {"text": r["title"]}, "locations": [{"physicalLocation": {"artifactLocation": {"uri": r["file_path"]}, "region": {"startLine": r["line"] or 1}}}], "partialFingerprints": {"id": str(r["id"])}} for r in found]
-    return json.dumps({"version": "2.1.0", "$schema": "https://json.schemastore.org/sarif-2.1.0.json", "runs": [{"tool": {"driver": {"name": "lodestar", "rules": [{"id": n} for n in sorted({r["rule_name"] for r in found})]}}, "results": results}]})
+    place = lambda r: dict(physicalLocation=dict(artifactLocation=dict(uri=r["file_path"]), region=dict(startLine=r["line"] or 1)))
+    results = [dict(ruleId=r["rule_name"], level=LEVEL[r["severity"]], message=dict(text=r["title"]), locations=[place(r)], partialFingerprints=dict(id=str(r["id"]))) for r in found]
+    driver = dict(name="lodestar", rules=[dict(id=n) for n in sorted({r["rule_name"] for r in found})])
+    return json.dumps(dict(version="2.1.0", runs=[dict(tool=dict(driver=driver), results=results)]))
 
 
 def code_climate(findings: DataFrame) -> str:

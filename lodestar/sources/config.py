@@ -32,7 +32,7 @@ class Config:
         return cls(**values | {k: v for k, v in flags.items() if v is not None})
 
 
-MODES = ("off", "warn", "new-violations", "strict")
+MODES = tuple("off warn new-violations strict".split())
 
 
 @dataclass
