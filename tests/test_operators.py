@@ -1,3 +1,4 @@
+import json
 import random
 
 import pytest
@@ -167,7 +168,9 @@ def test_lcov(spark, tmp_path):
 def test_lockfile_and_audit(spark, tmp_path):
     (tmp_path / "package-lock.json").write_text('{"packages": {"": {"version": "1.0.1"}, "node_modules/a": {"version": "1.2.3"}, "node_modules/a/node_modules/@x/b": {"version": "0.1.0"}}}')
     (tmp_path / "osv").mkdir()
-    (tmp_path / "osv/1.json").write_text('{"id": "V-1", "database_specific": {"severity": "MODERATE"}, "affected": [{"ranges": [{"events": [{"introduced": "0"},  {"last_affected": "1.2.9"}]}], "package": {"name": "a", "ecosystem": "npm"}}]}')
+    package, events = dict(name="a", ecosystem="npm"), [dict(introduced="0"), dict(last_affected="1.2.9")]
+    advisory = dict(id="V-1", database_specific=dict(severity="MODERATE"), affected=[dict(package=package, ranges=[dict(type="SEMVER", events=events)])])
+    (tmp_path / "osv/1.json").write_text(json.dumps(advisory))
     (tmp_path / "osv/bad.json").write_text("{")
     packages = SF.read_npm_lockfile(spark, str(tmp_path / "package-lock.json"))
     assert {(r["name"], r["is_direct"]) for r in packages.collect()} == {("a", True), ("@x/b", False)}
