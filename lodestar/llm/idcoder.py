@@ -5,16 +5,19 @@ ids, so any block decodes alone.  Within a block each id is predicted by
 
 * order 2: the id that last followed the two before it (a hashed table with confidences),
 * order 1: the id that last followed the one before it,
-* order 0: the frequencies of the block's ids so far, high and low byte.
+* order 0: the frequencies of the block's ids so far, in classes of neighbouring ids.
 
 The candidate of the highest order that has one is coded as a hit or a miss.  The chance
 of a hit mixes three adaptive estimates (by order-2 confidence, by order-1 confidence and
-agreement, by the last outcome) in the logistic domain with weights that learn from each
-error.  A miss is followed by the id under the order-0 frequencies.  All of it drives one
-64-bit range coder with 16-bit output words and carries.
+agreement, of any hit) in the logistic domain with weights that learn from their errors.
+A miss is followed by the id under the order-0 frequencies.  All of it drives one 64-bit
+range coder with 16-bit output words and carries.
 
-The coder is written over lanes: one numpy operation advances every block of a batch by
-one id, with integers only, so any machine decodes what any other wrote.
+The coder works on lanes: one numpy operation advances every block of a batch by one id.
+The model adapts at the end of each short epoch (8 ids at first, later 64) from the ids
+that both sides know by then, so within an epoch the encoder computes all predictions at
+once and the decoder does no upkeep.  Only integers are used, so any machine decodes what
+any other wrote.
 """
 
 from __future__ import annotations
@@ -23,14 +26,20 @@ import zlib
 
 import numpy as np
 
-BLOCK = 4096
-LANES = 2048
-SLOTS = 2048  # entries of the order-1 and order-2 tables of a block
-TOTAL = 4096  # order-0 frequencies of a byte add up to this
+BLOCK = 1024
+LANES = 4096
+ENCODED = 1024  # lanes that are encoded at once
+SLOTS = 1024  # entries of the order-1 and order-2 tables of a block
+CLASS = 128  # ids a class of order 0; 512 classes cover 16 bits
+CLASSES = 65536 // CLASS
+TOTAL = 4096  # order-0 frequencies add up to this
+SHIFT = CLASS.bit_length() - 1
+LITERAL = 12 + SHIFT  # bits of a miss: class frequency and place in the class
 U64, I32 = np.uint64, np.int32
 TOP = U64(1) << U64(48)
-#: Positions after which order-0 frequencies are computed anew.
-UPDATES = frozenset([16, 32, 64, 128, *range(256, BLOCK, 256)])
+ENDS = sorted({8, 16, 24, 32, 48, 64, 96, *range(128, BLOCK + 1, 64)})
+#: Ends of epochs at which order-0 frequencies are computed anew.
+UPDATES = frozenset([16, 64, 128, 256, 512])
 
 
 def _squash() -> np.ndarray:
@@ -41,133 +50,147 @@ def _squash() -> np.ndarray:
 
 SQUASH = _squash()
 #: Its inverse: the least argument that reaches each probability.
-STRETCH = (np.searchsorted(SQUASH, np.arange(4096)).clip(0, 4094) - 2047).astype(I32)
+STRETCH = (np.searchsorted(SQUASH, np.arange(4096)).clip(0, 4094) - 2047).astype(np.int64)
 
 
 class Model:
-    """The adaptive state of every lane."""
+    """The adaptive state of every lane; frozen within an epoch."""
 
     def __init__(self, lanes: int):
+        self.lanes, self.at = lanes, np.arange(lanes)
         self.t2, self.t1 = np.zeros(lanes * SLOTS, I32), np.zeros(lanes * SLOTS, I32)
-        self.at = np.arange(lanes, dtype=I32)
-        self.p2, self.p1, self.p0 = (np.full(lanes * n, 1 << 15, I32) for n in (8, 16, 2))
-        self.w = [np.full(lanes, 26_000, I32) for _ in range(3)]
-        self.last = np.zeros(lanes, I32)
-        self.counts = np.zeros((2, lanes, 256), np.int64)
+        self.p = [np.full((lanes, n), 1 << 15, np.int64) for n in (8, 16, 1)]
+        self.w = np.full((3, lanes), 26_000, np.int64)
+        self.counts, self.classes = np.zeros((lanes, CLASSES), I32), self.at * CLASSES
+        self.slot, self.s2, self.s1 = self.at * SLOTS, self.at * 8, self.at * 16
+        self.freeze()
         self.refresh(None)
 
-    def refresh(self, ids: np.ndarray | None) -> None:
-        """Count a run of ids (steps x lanes; -1: none) and set the order-0 frequencies."""
-        lanes = len(self.at)
+    def freeze(self) -> None:
+        """Weighted evidence of each context for the epoch to come."""
+        self.st = [STRETCH[p >> 4] for p in self.p]
+        self.evidence = [(w[:, None] * st).ravel().astype(I32) for w, st in zip(self.w, self.st)]
+
+    def refresh(self, ids: np.ndarray | None, seen: int = 0) -> None:
+        """Count a run of ids (steps x lanes) and set the order-0 frequencies; ``seen``: ids so far, a power of two."""
         if ids is not None:
-            lane = np.broadcast_to(self.at, ids.shape)[ids >= 0].astype(np.int64) * 256
-            seen = ids[ids >= 0]
-            for k, part in enumerate((seen >> 8, seen & 255)):
-                self.counts[k] += np.bincount(lane + part, minlength=lanes * 256).reshape(lanes, 256)
-        total = np.maximum(self.counts.sum(axis=2, keepdims=True), 1)
-        freq = 1 + self.counts * (TOTAL - 256) // total
-        freq[:, :, 0] += TOTAL - freq.sum(axis=2)
-        self.freq = freq.astype(np.uint64).reshape(2, -1)
-        self.cum = (np.cumsum(freq, axis=2) - freq).astype(np.uint64).reshape(2, -1)
-        self.table = freq.reshape(2, -1)
-
-    def inverse(self) -> list[np.ndarray]:
-        """For decoding: the byte at each of the TOTAL places of a lane."""
-        symbols = np.tile(np.arange(256, dtype=np.uint8), len(self.at))
-        return [np.repeat(symbols, self.table[k]) for k in range(2)]
-
-    def predict(self, a: np.ndarray, b: np.ndarray, n: int):
-        """Candidate and chance (12 bits) of a hit after ids ``b`` then ``a``; n: lanes still active."""
-        at = self.at[:n]
-        h1 = (a * I32(40503)) & I32(0x7FFFFFFF)
-        self.i1 = at * I32(SLOTS) + ((h1 >> 5) & (SLOTS - 1))
-        self.i2 = at * I32(SLOTS) + (((h1 ^ (b * I32(30011) + (b >> 3))) >> 4) & (SLOTS - 1))
-        self.e2, self.e1 = self.t2[self.i2], self.t1[self.i1]
-        self.c2, self.c1 = self.e2 >> 16, self.e1 >> 16
-        candidate = np.where(self.c2 > 0, self.e2, self.e1) & 0xFFFF
-        self.s2 = at * 8 + self.c2
-        self.s1 = at * 16 + self.c1 * 2 + ((self.e1 & 0xFFFF) == candidate)
-        self.s0 = at * 2 + self.last[:n]
-        self.q = self.p2[self.s2], self.p1[self.s1], self.p0[self.s0]
-        self.st = [STRETCH[q >> 4] for q in self.q]
-        dot = (self.w[0][:n] * self.st[0] + self.w[1][:n] * self.st[1] + self.w[2][:n] * self.st[2]) >> 16
-        self.p = SQUASH[np.clip(dot, -2047, 2047) + 2047]
-        return candidate, self.p
-
-    def update(self, hit: np.ndarray, ids: np.ndarray, n: int) -> None:
-        err = ((hit << 12) - self.p) * I32(7)
-        for w, st in zip(self.w, self.st):
-            w[:n] = np.clip(w[:n] + ((st * err + 0x8000) >> 16), -(1 << 17), 1 << 17)
-        goal = hit * I32(65535)
-        for p, s, q in zip((self.p2, self.p1, self.p0), (self.s2, self.s1, self.s0), self.q):
-            p[s] = q + ((goal - q) >> 4)
-        self.last[:n] = hit
-        for t, i, e, c in ((self.t2, self.i2, self.e2, self.c2), (self.t1, self.i1, self.e1, self.c1)):
-            same = ((e & 0xFFFF) == ids) & (c > 0)
-            t[i] = np.where(same, (np.minimum(c + 1, 7) << 16) | ids, np.where(c > 1, e - ((c - (c >> 1)) << 16), (1 << 16) | ids))
-
-
-def _put(words, place, low, rng, lanes):
-    """Write out the leading words of lanes whose range has become small."""
-    small = lanes[rng[lanes] < TOP]
-    while len(small):
-        words[place[small], small] = (low[small] >> U64(48)).astype(np.int64)
-        place[small] += 1
-        low[small] <<= U64(16)
-        rng[small] <<= U64(16)
-        small = small[rng[small] < TOP]
+            self.counts += np.bincount(((ids >> SHIFT) + self.classes).ravel(), minlength=self.lanes * CLASSES).reshape(self.lanes, CLASSES).astype(I32)
+        freq = (self.counts * I32(TOTAL - CLASSES) >> max(0, seen.bit_length() - 1)) + I32(1)
+        freq[:, 0] += TOTAL - freq.sum(axis=1, dtype=I32)
+        self.freq, self.cum = freq.ravel(), (np.cumsum(freq, axis=1, dtype=I32) - freq).ravel()
+
+    def inverse(self) -> np.ndarray:
+        """For decoding: the class at each of the TOTAL places of a lane."""
+        return np.repeat(np.tile(np.arange(CLASSES, dtype=np.int16), self.lanes), self.freq)
+
+    def predict(self, a: np.ndarray, b: np.ndarray):
+        """Candidates and chances (12 bits) of a hit after ids ``b`` then ``a`` (lanes last), and what led to them."""
+        h = a * I32(40503)
+        i1 = ((h >> 5) & (SLOTS - 1)) + self.slot
+        i2 = (((h ^ (b * I32(30011) + (b >> 3))) >> 4) & (SLOTS - 1)) + self.slot
+        e2, e1 = self.t2.take(i2), self.t1.take(i1)
+        c2, c1 = e2 >> 16, e1 >> 16
+        candidate = np.where(c2 > 0, e2, e1) & 0xFFFF
+        s2 = self.s2 + c2
+        s1 = self.s1 + (c1 << 1) + ((e1 & 0xFFFF) == candidate)
+        dot = self.evidence[0].take(s2) + self.evidence[1].take(s1)
+        dot += self.evidence[2]
+        dot >>= 16
+        np.minimum(dot, 2047, out=dot)
+        np.maximum(dot, -2047, out=dot)
+        dot += 2047
+        return candidate, SQUASH.take(dot), (i2, i1, e2, e1, s2, s1)
+
+    def learn(self, ids: np.ndarray, hit: np.ndarray, p: np.ndarray, how) -> None:
+        """Adapt to an epoch (steps x lanes)."""
+        i2, i1, e2, e1, s2, s1 = how
+        err = ((hit.astype(I32) << 12) - p).astype(np.float64)
+        pull = [err.sum(axis=0).astype(np.int64) * self.st[2][:, 0]]
+        n, h = [np.full((self.lanes, 1), len(ids))], [hit.sum(axis=0)[:, None]]
+        for s, table, st in ((s1, self.p[1], self.st[1]), (s2, self.p[0], self.st[0])):
+            both = np.bincount(((s << 1) + hit).ravel(), minlength=2 * table.size).reshape(*table.shape, 2)
+            n.insert(0, both.sum(axis=2))
+            h.insert(0, both[:, :, 1])
+            by = np.bincount(s.ravel(), weights=err.ravel(), minlength=table.size).reshape(table.shape)  # whole numbers
+            pull.insert(0, (by.astype(np.int64) * st).sum(axis=1))
+        for k in range(3):
+            self.w[k] = np.clip(self.w[k] + (pull[k] * 7 >> 16), -(1 << 17), 1 << 17)
+            self.p[k] += ((h[k] << 16) - n[k] * self.p[k]) // (n[k] + 16)
+            np.clip(self.p[k], 32, 65503, out=self.p[k])
+        fresh = ids + I32(1 << 16)
+        for t, i, e in ((self.t2, i2, e2), (self.t1, i1, e1)):
+            more = np.minimum(e >> 16, 6)
+            more *= (e & 0xFFFF) == ids
+            t[i] = fresh + (more << 16)
+        self.freeze()
 
 
 def encode(blocks: list[np.ndarray]) -> list[bytes]:
-    """Payloads of blocks of ids (each 1 to BLOCK long, ids below 65,536), longest first or in any order."""
+    """Payloads of blocks of ids (each 1 to BLOCK long, ids below 65,536)."""
+    if len(blocks) > ENCODED:  # more at once would leave the processor's caches
+        return [x for i in range(0, len(blocks), ENCODED) for x in encode(blocks[i : i + ENCODED])]
     order = sorted(range(len(blocks)), key=lambda i: -len(blocks[i]))
     size = np.array([len(blocks[i]) for i in order])
     lanes, steps = len(order), int(size[0])
-    ids = np.full((steps, lanes), -1, I32)
+    ids = np.zeros((steps + 2, lanes), I32)  # two steps before the first
     for k, i in enumerate(order):
-        ids[: size[k], k] = blocks[i]
-    model = Model(lanes)
-    words, place = np.zeros((3 * steps + 8, lanes), np.int64), np.zeros(lanes, np.int64)
+        ids[2 : 2 + size[k], k] = blocks[i]
+    model, active = Model(lanes), np.searchsorted(-size, -np.arange(steps), side="left")
+    words, sent, carried = np.zeros((steps, 3, lanes), np.uint16), np.zeros((steps, 3, lanes), bool), np.zeros((steps, lanes), bool)
     low, rng = np.zeros(lanes, U64), np.full(lanes, ~U64(0))
-    active = np.searchsorted(-size, -np.arange(steps), side="left")
-    a = b = np.zeros(lanes, I32)
-    every, since = np.arange(lanes), 0
-    for t in range(steps):
-        n = int(active[t])
-        x, before = ids[t, :n], low[:n].copy()
-        candidate, p = model.predict(a[:n], b[:n], n)
-        hit = (candidate == x).astype(I32)
-        split = (rng[:n] >> U64(12)) * p.astype(U64)
-        miss = np.flatnonzero(hit == 0)
-        rng[:n] = np.where(hit, split, rng[:n] - split)
-        low[miss] += split[miss]
-        lit = x[miss]
-        for k, part in enumerate((lit >> 8, lit & 255)):
-            at = miss * 256 + part
-            r = rng[miss] >> U64(12)
-            low[miss] += r * model.cum[k][at]
-            rng[miss] = r * model.freq[k][at]
-        carry = np.flatnonzero(low[:n] < before)
-        words[place[carry] - 1, carry] += 1
-        _put(words, place, low, rng, every[:n])
-        model.update(hit, x, n)
-        a, b = x, a
-        if t + 1 in UPDATES:
-            model.refresh(ids[since : t + 1])
-            since = t + 1
+    begin = since = 0
+    for end in [min(e, steps) for e in ENDS if e - steps < 64]:
+        if end <= begin:
+            break
+        x = ids[begin + 2 : end + 2]
+        candidate, p, how = model.predict(ids[begin + 1 : end + 1], ids[begin:end])
+        hit = candidate == x
+        at = (x >> SHIFT) + model.classes
+        f = model.freq.take(at)
+        add = ((model.cum.take(at) << SHIFT) + (x & (CLASS - 1)) * f).astype(U64)
+        f, chance, missed = f.astype(U64), p.astype(U64), (~hit).astype(U64)
+        for k in range(end - begin):
+            t = begin + k
+            n = int(active[t])
+            lo, rg = low[:n], rng[:n]
+            split = (rg >> U64(12)) * chance[k, :n]
+            r = (rg - split) >> U64(LITERAL)
+            more = (split + r * add[k, :n]) * missed[k, :n]
+            lo += more
+            np.less(lo, more, out=carried[t, :n])
+            rg[:] = np.where(hit[k, :n], split, r * f[k, :n])
+            for j in range(3):
+                small = np.less(rg, TOP, out=sent[t, j, :n])
+                if not small.any():
+                    break
+                words[t, j, :n] = lo >> U64(48)
+                shift = small.astype(U64) << U64(4)
+                lo <<= shift
+                rg <<= shift
+        model.learn(x, hit, p, how)
+        if end in UPDATES:
+            model.refresh(ids[since + 2 : end + 2], end)
+            since = end
+        begin = end
     before = low.copy()
-    low += TOP - U64(1)  # a word that lies within the range, all further ones zero
-    carry = np.flatnonzero(low < before)
-    words[place[carry] - 1, carry] += 1
-    words[place, every] = (low >> U64(48)).astype(np.int64)
-    place += 1
-    for k in range(int(place.max()) - 1, 0, -1):
-        words[k - 1] += words[k] >> 16
-        words[k] &= 0xFFFF
+    low += TOP - U64(1)  # a word that lies within the range; all further ones are zero
+    count = np.cumsum(sent.sum(axis=1), axis=0)  # words of a lane up to each step
+    t, lane = np.nonzero(carried)
+    prior = np.where(t > 0, count[t - 1, lane], 0) - 1
+    last = np.flatnonzero(low < before)
     out: list[bytes] = [b""] * lanes
-    flat = words.astype("<u2")
+    flat, kept = words.reshape(-1, lanes).T, sent.reshape(-1, lanes).T
+    made = flat[kept].astype(np.int64)  # lane after lane
+    start = np.concatenate([[0], np.cumsum(kept.sum(axis=1))])
+    np.add.at(made, start[lane] + prior, 1)
+    np.add.at(made, start[last + 1] - 1, 1)
+    while (over := np.flatnonzero(made > 0xFFFF)).size:
+        made[over] -= 1 << 16
+        np.add.at(made, over - 1, 1)
+    made = made.astype("<u2")
+    tail = (low >> U64(48)).astype("<u2")
     for k, i in enumerate(order):
-        out[i] = flat[: place[k], k].tobytes()
+        out[i] = made[start[k] : start[k + 1]].tobytes() + tail[k].tobytes()
     return out
 
 
@@ -176,53 +199,71 @@ def decode(payloads: list[bytes], sizes: list[int]) -> list[np.ndarray]:
     order = sorted(range(len(sizes)), key=lambda i: -sizes[i])
     size = np.array([sizes[i] for i in order])
     lanes, steps = len(order), int(size[0])
-    words = np.zeros((max(len(p) for p in payloads) // 2 + 8, lanes), np.uint64)
+    width = max(len(p) for p in payloads) // 2 + 8
+    words = np.zeros((lanes, width), np.uint16)
     for k, i in enumerate(order):
-        words[: len(payloads[i]) // 2, k] = np.frombuffer(payloads[i], "<u2")
-    model = Model(lanes)
-    ids = np.full((steps, lanes), -1, I32)
-    code, rng, place = np.zeros(lanes, U64), np.full(lanes, ~U64(0)), np.full(lanes, 4, np.int64)
+        words[k, : len(payloads[i]) // 2] = np.frombuffer(payloads[i], "<u2")
+    words, place = words.ravel().astype(U64), np.arange(lanes) * width + 4
+    limit = np.arange(1, lanes + 1) * width - 1
+    model, active = Model(lanes), np.searchsorted(-size, -np.arange(steps), side="left")
+    ids = np.zeros((steps + 2, lanes), I32)
+    code, rng = np.zeros(lanes, U64), np.full(lanes, ~U64(0))
     for k in range(4):
-        code = code << U64(16) | words[k]
-    active = np.searchsorted(-size, -np.arange(steps), side="left")
-    a = b = np.zeros(lanes, I32)
-    every, since, inverse, most = np.arange(lanes), 0, model.inverse(), len(words) - 1
-    for t in range(steps):
-        n = int(active[t])
-        candidate, p = model.predict(a[:n], b[:n], n)
-        split = (rng[:n] >> U64(12)) * p.astype(U64)
-        hit = code[:n] < split
-        miss = np.flatnonzero(~hit)
-        rng[:n] = np.where(hit, split, rng[:n] - split)
-        code[miss] -= split[miss]
-        lit = np.zeros(len(miss), I32)
-        for k in range(2):
-            r = rng[miss] >> U64(12)
-            v = np.minimum(code[miss] // r, U64(TOTAL - 1)).astype(np.int64)
-            part = inverse[k][miss * TOTAL + v].astype(np.int64)
-            at = miss * 256 + part
-            code[miss] -= r * model.cum[k][at]
-            rng[miss] = r * model.freq[k][at]
-            lit = (lit << 8) | part.astype(I32)
-        x = candidate.copy()
-        x[miss] = lit
-        ids[t, :n] = x
-        small = every[:n][rng[:n] < TOP]
-        while len(small):
-            code[small] = code[small] << U64(16) | words[np.minimum(place[small], most), small]
-            place[small] += 1
-            rng[small] <<= U64(16)
-            small = small[rng[small] < TOP]
-        model.update(hit.astype(I32), x, n)
-        a, b = x, a
-        if t + 1 in UPDATES:
-            model.refresh(ids[since : t + 1])
-            since, inverse = t + 1, model.inverse()
+        code = code << U64(16) | words[np.arange(lanes) * width + k]
+    begin = since = 0
+    inverse, places = model.inverse(), model.at * TOTAL
+    classes, most = model.at * CLASSES, U64((1 << LITERAL) - 1)
+    for end in [min(e, steps) for e in ENDS if e - steps < 64]:
+        if end <= begin:
+            break
+        hits, chances, hows = np.zeros((end - begin, lanes), bool), np.zeros((end - begin, lanes), I32), []
+        for t in range(begin, end):
+            n = int(active[t])
+            candidate, p, how = model.predict(ids[t + 1], ids[t])
+            hows.append(how)
+            chances[t - begin] = p
+            cd, rg = code[:n], rng[:n]
+            split = (rg >> U64(12)) * p[:n].astype(U64)
+            hit = np.less(cd, split, out=hits[t - begin, :n])
+            r = (rg - split) >> U64(LITERAL)
+            left = cd - split
+            v = np.minimum(left // r, most).astype(np.int64)
+            v[hit] = 0
+            part = inverse.take(places[:n] + (v >> SHIFT))
+            at = classes[:n] + part
+            f, base = model.freq.take(at).astype(np.int64), model.cum.take(at).astype(np.int64) << SHIFT
+            rest = (v - base) // f
+            x = np.where(hit, candidate[:n], (part.astype(np.int64) << SHIFT) + rest)
+            ids[t + 2, :n] = x
+            cd[:] = np.where(hit, cd, left - r * (base + rest * f).astype(U64))
+            rg[:] = np.where(hit, split, r * f.astype(U64))
+            small = np.flatnonzero(rg < TOP)
+            while small.size:
+                at = place[small]
+                cd[small] = cd[small] << U64(16) | words[np.minimum(at, limit[small])]
+                place[small] = at + 1
+                rs = rg[small] << U64(16)
+                rg[small] = rs
+                small = small[rs < TOP]
+        x = ids[begin + 2 : end + 2]
+        how = tuple(np.stack(z) for z in zip(*hows))
+        hits = how_hit(x, how) if len(active) and active[end - 1] < lanes else hits
+        model.learn(x, hits, chances, how)
+        if end in UPDATES:
+            model.refresh(ids[since + 2 : end + 2], end)
+            since, inverse = end, model.inverse()
+        begin = end
     out: list[np.ndarray] = [None] * lanes
     for k, i in enumerate(order):
-        out[i] = ids[: size[k], k].astype("<u2")
+        out[i] = ids[2 : 2 + size[k], k].astype("<u2")
     return out
 
 
+def how_hit(ids: np.ndarray, how) -> np.ndarray:
+    """The hits of an epoch as the encoder sees them, also beyond the end of a block."""
+    _, _, e2, e1, _, _ = how
+    return (np.where(e2 >> 16 > 0, e2, e1) & 0xFFFF) == ids
+
+
 def checksum(ids: np.ndarray) -> int:
     return zlib.crc32(np.ascontiguousarray(ids, "<u2").tobytes())
