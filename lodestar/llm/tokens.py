@@ -15,13 +15,16 @@ from __future__ import annotations
 
 import os
 import re
+import sys
+from array import array
 
 import numpy as np
 
-#: Entries kept in either dictionary of a worker (some 180 bytes each); more aren't kept.
+#: Chunks kept by a worker, beside twice as many pieces (some 180 bytes each); more aren't kept.
 CACHE = 400_000
 PLAIN = re.compile("[!-~À-ÖØ-öø-ÿ]+")
 PIECE = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+")
+SIGNS = frozenset(".,!?;:")
 _ENCODERS: dict[str, "Encoder"] = {}
 
 
@@ -60,18 +63,26 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         if self.tokenizer.get_vocab_size() > 1 << 16:
             raise ValueError("ids must fit 16 bits")
+        if sys.byteorder != "little":
+            raise ValueError("ids are written as the machine holds them")
         self.model, self.letters = self.tokenizer.model, byte_letters()
-        self.pieces = Bounded(self.piece, cache)
+        self.pieces = Bounded(self.piece, 2 * cache)
         self.chunks = Bounded(self.chunk, cache)
 
     def piece(self, piece: str) -> bytes:
-        tokens = self.model.tokenize(piece.encode().decode("latin-1").translate(self.letters))
-        return np.array([t.id for t in tokens], "<u2").tobytes()
+        spelt = piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.letters)
+        return array("H", [t.id for t in self.model.tokenize(spelt)]).tobytes()
 
     def chunk(self, chunk: bytes) -> bytes:
         text = chunk.decode()
+        low = text.lower()
+        if text.isascii():
+            if low.isalpha():
+                return self.pieces[low]
+            if low[-1] in SIGNS and low[:-1].isalpha():  # a word and the sign behind it
+                return self.pieces[low[:-1]] + self.pieces[low[-1]]
         if PLAIN.fullmatch(text) and "<|" not in text:
-            return b"".join(map(self.pieces.__getitem__, PIECE.findall(text.lower())))
+            return b"".join(map(self.pieces.__getitem__, PIECE.findall(low)))
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u2").tobytes()
 
     def encode(self, text: bytes) -> bytes:
