@@ -140,14 +140,16 @@ def elementary_cycles(edges: DataFrame, per_component: int = CYCLES_PER_COMPONEN
     hops = inner.select(F.col("component").alias("c"), F.col("source").alias("s"), F.col("target").alias("t"))
     for length in range(2, longest + 1):
         rows = settle(rows)
+        if rows.isEmpty():
+            break
         closed = rows.join(hops, (F.col("component") == F.col("c")) & (F.element_at("path", -1) == F.col("s")) & (F.col("path")[0] == F.col("t"))).select("component", F.col("path").alias("cycle"), F.lit(length).alias("length"))
         found = closed if found is None else found.unionByName(closed)
         found = settle(found.withColumn("r", F.row_number().over(order)).where(F.col("r") <= per_component).drop("r"))
         full = found.groupBy("component").count().where(F.col("count") >= per_component).select("component")
         rows = rows.join(full, "component", "left_anti")  # its cap is met by shorter cycles: no longer one can enter
         rows = rows.join(hops, (F.col("component") == F.col("c")) & (F.element_at("path", -1) == F.col("s"))).where("t > path[0] AND NOT array_contains(path, t)").select("component", F.concat("path", F.array("t")).alias("path"))
-        if length == longest or rows.isEmpty():
-            break
+    if found is None:
+        return edges.select(F.col("source").alias("component"), F.array("source").alias("cycle"), F.lit(0).alias("length")).limit(0)
     return found.select("component", "cycle", "length")
 
 
