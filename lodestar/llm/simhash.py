@@ -230,12 +230,12 @@ def bucket_links(fps: DataFrame) -> DataFrame:
 
 
 def near_duplicates(keys: DataFrame) -> DataFrame:
-    """(fp, component_id) for every distinct fp of a written table (doc_id, fp)."""
+    """(fp, root, component_id) for every distinct fp of a written table (doc_id, fp); root is the component's own, a ``doc_id`` may be null or repeat."""
     distinct = materialize(keys.groupBy("fp").agg(F.min("doc_id").alias("least")), "fps")
     labels = components(bucket_links(distinct.select("fp"))).withColumnRenamed("node", "fp")
     rooted = distinct.join(labels, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), "least")
     best = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    return materialize(rooted.join(best, "root").select("fp", "component_id"), "components")
+    return materialize(rooted.join(best, "root").select("fp", "root", "component_id"), "components")
 
 
 def simhash_dedup(docs: DataFrame) -> DataFrame:
@@ -246,9 +246,9 @@ def simhash_dedup(docs: DataFrame) -> DataFrame:
 
 
 def drop_near_copies(docs: DataFrame) -> DataFrame:
-    """``docs`` with one row of each component (the smallest ``doc_id``, the first such row); a stable table is asked for."""
+    """``docs`` with one row of each component (the smallest ``doc_id``, nulls last, the first such row); a stable table is asked for."""
     ship(docs.sparkSession)
     keys = materialize(fingerprints(docs), "fingerprints")
     labelled = keys.join(near_duplicates(keys), "fp")
-    lead = labelled.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("component_id").agg(F.min("row_id").alias("__row")).select("__row")
+    lead = labelled.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row_id")).alias("lead")).select(F.col("lead.row_id").alias("__row"))
     return docs.withColumn("__row", F.monotonically_increasing_id()).join(lead, "__row", "left_semi").drop("__row")

@@ -109,3 +109,11 @@ def test_misra_gries_keeps_the_frequent():
     (out,) = X.misra_gries(5)(batches)
     got = dict(zip(out.column(0).to_pylist(), out.column(1).to_pylist()))
     assert len(got) <= 5 and 400 - 1200 // 6 <= got[b"hot"] <= 400
+
+
+def test_components_without_an_id_of_their_own_stay_apart(spark, tmp_path):
+    text = lambda k: " ".join(f"w{k}x{i}" for i in range(60))
+    rows = [(None, text(1)), (None, text(2)), (None, text(3)), (7, text(4)), (7, text(5)), (7, text(5)), (None, text(5)), (9, text(1))]
+    spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).write.parquet(f"file://{tmp_path}/t")
+    kept = S.drop_near_copies(spark.read.parquet(f"file://{tmp_path}/t")).collect()
+    assert sorted((r["text"], r["doc_id"] or 0) for r in kept) == sorted([(text(1), 9), (text(2), 0), (text(3), 0), (text(4), 7), (text(5), 7)])
