@@ -50,6 +50,16 @@ def materialize(df: DataFrame, what: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def numbered(docs: DataFrame) -> DataFrame:
+    """``docs`` with a number in ``__row``, written once: however a later scan is split, a row keeps its number."""
+    return materialize(docs.withColumn("__row", F.monotonically_increasing_id()), "numbered")
+
+
+def row_number(docs: DataFrame):
+    """The number that ``numbered`` gave, or one that holds for this scan only."""
+    return (F.col("__row") if "__row" in docs.columns else F.monotonically_increasing_id()).alias("row_id")
+
+
 def filesystem(uri: str):
     """(pyarrow file system, path) of a URI; executors and driver open shared files by it."""
     from pyarrow import fs

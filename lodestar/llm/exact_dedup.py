@@ -24,7 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, ship, text_or_empty
+from .common import materialize, numbered, row_number, ship, text_or_empty
 
 COUNTERS = 1024
 
@@ -48,7 +48,7 @@ def misra_gries(counters: int):
 
 def digests(docs: DataFrame) -> DataFrame:
     """(row_id, doc_id, digest) of every row."""
-    return docs.select(F.monotonically_increasing_id().alias("row_id"), F.col("doc_id").cast("long").alias("doc_id"), F.unhex(F.sha2(text_or_empty().cast("binary"), 256)).alias("digest"))
+    return docs.select(row_number(docs), F.col("doc_id").cast("long").alias("doc_id"), F.unhex(F.sha2(text_or_empty().cast("binary"), 256)).alias("digest"))
 
 
 def _winners(keys: DataFrame) -> DataFrame:
@@ -78,11 +78,8 @@ def exact_dedup(docs: DataFrame, counters: int = COUNTERS) -> DataFrame:
 
 
 def drop_exact_copies(docs: DataFrame, counters: int = COUNTERS) -> DataFrame:
-    """``docs`` without the rows that lose; every column stays.
-
-    ``docs`` must be a stable table (files), as rows are matched by their place in it.
-    """
+    """``docs`` without the rows that lose; every column stays."""
     ship(docs.sparkSession)
-    placed = docs.withColumn("__row", F.monotonically_increasing_id())
-    lost = settle(materialize(digests(docs), "digests"), counters).where("not kept").select(F.col("row_id").alias("__row"))
+    placed = numbered(docs)
+    lost = settle(materialize(digests(placed), "digests"), counters).where("not kept").select(F.col("row_id").alias("__row"))
     return placed.join(lost, "__row", "left_anti").drop("__row")

@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, ship, text_or_empty, utf8
+from .common import materialize, numbered, row_number, ship, text_or_empty, utf8
 from .components import components
 
 BITS, FANOUT, HOT, SMALL = 2, 16, 4096, 16
@@ -72,7 +72,7 @@ def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 def fingerprints(docs: DataFrame) -> DataFrame:
     """(row_id, doc_id, fp) of every row; fp holds the 64 bits as a signed long."""
-    source = docs.select(F.monotonically_increasing_id().alias("row_id"), F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
+    source = docs.select(row_number(docs), F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
     return source.mapInArrow(_fingerprints, "row_id long, doc_id long, fp long")
 
 
@@ -246,9 +246,10 @@ def simhash_dedup(docs: DataFrame) -> DataFrame:
 
 
 def drop_near_copies(docs: DataFrame) -> DataFrame:
-    """``docs`` with one row of each component (the smallest ``doc_id``, nulls last, the first such row); a stable table is asked for."""
+    """``docs`` with one row of each component (the smallest ``doc_id``, nulls last, the first such row)."""
     ship(docs.sparkSession)
-    keys = materialize(fingerprints(docs), "fingerprints")
+    placed = numbered(docs)
+    keys = materialize(fingerprints(placed), "fingerprints")
     labelled = keys.join(near_duplicates(keys), "fp")
     lead = labelled.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row_id")).alias("lead")).select(F.col("lead.row_id").alias("__row"))
-    return docs.withColumn("__row", F.monotonically_increasing_id()).join(lead, "__row", "left_semi").drop("__row")
+    return placed.join(lead, "__row", "left_semi").drop("__row")
