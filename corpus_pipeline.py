@@ -10,9 +10,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from lodestar.llm.common import materialize, read_table
 from lodestar.llm.exact_dedup import drop_exact_copies
+from lodestar.llm.minhash import drop_shingle_copies
 from lodestar.llm.mixing import take
 from lodestar.llm.packing import best_fit_pack
-from lodestar.llm.simhash import drop_near_copies
 from lodestar.llm.toxicity import drop_toxic
 
 
@@ -27,8 +27,8 @@ def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of near copies the smallest doc_id stays."""
-    return drop_near_copies(docs)
+    """Of each component of near copies (five-word shingles, similarity 0.8 or more) the smallest doc_id stays."""
+    return drop_shingle_copies(docs)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
