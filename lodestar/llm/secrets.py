@@ -44,7 +44,7 @@ WINDOW = 24
 #: Bits a character in a window of 24 from which a class counts as random (log2 of 24 is 4.58).
 THRESHOLD = {"entropy_digits": 3.1, "entropy_hex": 3.3, "entropy_alnum": 4.0, "entropy_base64": 4.1}
 UUID = re.compile(r"[0-9a-fA-F]{8}-(?:[0-9a-fA-F]{4}-){3}[0-9a-fA-F]{12}")
-PLAIN = re.compile(r"[0-9./:+_=-]*|[^0-9]*")  # dates, versions, numbers with separators; words and rules without a digit
+PLAIN = re.compile(r"(?![0-9]+\Z)[0-9./:+_=-]*|[^0-9]*")  # dates, versions, numbers with separators (not bare digits); words and rules without a digit
 SEPARATORS, DIGITS, TURNS = re.compile(r"[./_=-]+"), re.compile(r"[0-9]+"), re.compile(r"[a-z](?=[A-Z])")
 PLACEHOLDER = re.compile(r"example|sample|dummy|placeholder|xxxx|changeme|redacted|lorem", re.IGNORECASE)
 TABLE = np.zeros(256, np.uint8)
@@ -75,11 +75,11 @@ def allowed(run: str) -> bool:
 
 
 def entropy_spans(run: str, window: int = WINDOW, threshold: dict[str, float] = THRESHOLD) -> list[tuple[str, int, int]]:
-    """(kind, start, end) of the merged windows whose entropy reaches the threshold of the run's class."""
+    """(kind, start, end) of the merged windows whose entropy reaches the threshold of their own class."""
     if len(run) < window or allowed(run):
         return []
-    kind, spans, counts, s = char_class(run), [], {}, 0.0  # s: sum of n log n
-    bar = threshold[kind]
+    spans, counts, s = [], {}, 0.0  # s: sum of n log n
+    least = min(threshold.values())
     for i, c in enumerate(run):
         n = counts.get(c, 0)
         counts[c] = n + 1
@@ -89,13 +89,14 @@ def entropy_spans(run: str, window: int = WINDOW, threshold: dict[str, float] =
             n = counts[old]
             counts[old] = n - 1
             s += XLOGX[n - 1] - XLOGX[n]
-        if i >= window - 1 and math.log2(window) - s / window >= bar - 1e-9:
+        bits = math.log2(window) - s / window + 1e-9
+        if i >= window - 1 and bits >= least and bits >= threshold[char_class(run[i - window + 1 : i + 1])]:
             a = i - window + 1
-            if spans and a <= spans[-1][2]:
-                spans[-1] = (kind, spans[-1][1], i + 1)
+            if spans and a <= spans[-1][1]:
+                spans[-1] = (spans[-1][0], i + 1)
             else:
-                spans.append((kind, a, i + 1))
-    return spans
+                spans.append((a, i + 1))
+    return [(char_class(run[a:b]), a, b) for a, b in spans]
 
 
 def assign_spans(text: str) -> list[tuple[str, int, int]]:
