@@ -1,268 +1,280 @@
-"""An adaptive context-mixing range coder for token ids, many blocks at a time.
-
-A block holds up to ``BLOCK`` ids, starts from a fresh model and carries a CRC-32 of its
-ids, so any block decodes alone.  Within a block each id is predicted by
-
-* order 2: the id that last followed the two before it (a hashed table with confidences),
-* order 1: the id that last followed the one before it,
-* order 0: the frequencies of the block's ids so far, in classes of neighbouring ids.
-
-The candidate of the highest order that has one is coded as a hit or a miss.  The chance
-of a hit mixes three adaptive estimates (by order-2 confidence, by order-1 confidence and
-agreement, of any hit) in the logistic domain with weights that learn from their errors.
-A miss is followed by the id under the order-0 frequencies.  All of it drives one 64-bit
-range coder with 16-bit output words and carries.
-
-The coder works on lanes: one numpy operation advances every block of a batch by one id.
-The model adapts at the end of each short epoch (8 ids at first, later 64) from the ids
-that both sides know by then, so within an epoch the encoder computes all predictions at
-once and the decoder does no upkeep.  Only integers are used, so any machine decodes what
-any other wrote.
+"""An adaptive context-mixing range coder for token ids.
+
+A block holds up to ``BLOCK`` ids, starts from a model of its own and carries a CRC-32 of
+its ids, so any block decodes alone.  Within a block an id is predicted by
+
+* order 2: the likeliest id after the two before it (a hashed table with confidences),
+* order 1: the likeliest id after the one before it,
+* order 0: the counts of the block's ids so far, from a start that the header tells (of
+  each id the number of bits of its count).
+
+An id is coded in two parts.  The first tells which order foresaw it: the order-2
+candidate, the order-1 candidate or neither.  The chance of each candidate mixes three
+adaptive estimates in the logistic domain (by order-2 confidence, by order-1 confidence
+and agreement, by both with the candidate's order-0 class) with weights that learn from
+their errors.  The second part, where neither did, is the id's place among the order-0
+frequencies, from which both failed candidates are taken out.
+
+A block is dealt to up to ``LANES`` lanes, each a run of neighbouring ids with a range
+coder (64-bit state, 32-bit words, carries) of its own.  One numpy operation advances all
+lanes by one id, and all lanes share one model, which learns at the end of each epoch (1
+step at first, ``EPOCH`` later) from the ids that both sides know by then.  Only integers
+are used, so any machine decodes what any other wrote.
 """
 
 from __future__ import annotations
 
+import math
 import zlib
 
 import numpy as np
 
-BLOCK = 1024
-LANES = 4096
-ENCODED = 1024  # lanes that are encoded at once
-SLOTS = 1024  # entries of the order-1 and order-2 tables of a block
-CLASS = 128  # ids a class of order 0; 512 classes cover 16 bits
-CLASSES = 65536 // CLASS
-TOTAL = 4096  # order-0 frequencies add up to this
-SHIFT = CLASS.bit_length() - 1
-LITERAL = 12 + SHIFT  # bits of a miss: class frequency and place in the class
-U64, I32 = np.uint64, np.int32
-TOP = U64(1) << U64(48)
-ENDS = sorted({8, 16, 24, 32, 48, 64, 96, *range(128, BLOCK + 1, 64)})
-#: Ends of epochs at which order-0 frequencies are computed anew.
-UPDATES = frozenset([16, 64, 128, 256, 512])
+BLOCK, LANES, STEPS, EPOCH = 1 << 20, 4096, 64, 32
+SLOTS = 16  # bits of the order-2 table's size
+LEVELS, BUCKETS = 8, 8  # confidences of a candidate, classes of its order-0 frequency
+STATES = LEVELS * LEVELS * 2 * BUCKETS
+FIRST, SECOND = 12, 18  # bits of the two parts' frequencies
+NONE, ONE = 1 << 16, 1 << 17  # no candidate; one level of confidence
+I32, I64, U32, U64 = np.int32, np.int64, np.uint32, np.uint64
+FULL, WORD = U64(1) << U64(32), U64(32)
+#: Logistic curve for -2047 to 2047 in steps of 1/256, as chances of 4096; and the least argument that reaches each chance.
+SQUASH = np.array([min(4095, max(1, round(4096 / (1 + math.exp(-d / 256))))) for d in range(-2047, 2048)], I64)
+STRETCH = np.searchsorted(SQUASH, np.arange(4096)).clip(0, 4094) - 2047
+_STATE = np.arange(STATES)
+#: The parts of a state: order-2 confidence, order-1 confidence with agreement, all.
+PARTS = (_STATE // (STATES // LEVELS), _STATE // BUCKETS % (2 * LEVELS), _STATE)
+HAS2 = PARTS[0] > 0
+HAS1 = (PARTS[1] > 1) & (PARTS[1] & 1 == 0)
+#: What a candidate's entry gains when it hits, by confidence; what it loses when it fails (its place, at 1 or less).
+GAIN = np.array([ONE * (n + 1 < LEVELS) for n in range(LEVELS)], I32)
+LOSS = np.array([ONE * (n + 1 >> 1) for n in range(LEVELS)], I32)
+
+
+def shape(n: int) -> tuple[int, int]:
+    """Lanes and steps of a block of ``n`` ids."""
+    lanes = min(LANES, max(1, n // STEPS))
+    return lanes, -(-n // lanes)
+
+
+def epochs(steps: int) -> list[tuple[int, int]]:
+    ends = [e for e in (1, 2, 4, 8, 16) if e < steps] + list(range(EPOCH, steps, EPOCH)) + [steps]
+    return list(zip([0, *ends], ends))
+
 
+class Chance:
+    """The chance of a hit in each state: three adaptive estimates, mixed in the logistic domain."""
 
-def _squash() -> np.ndarray:
-    """The logistic curve on 12 bits for -2047 to 2047, interpolated between whole numbers."""
-    at = [1, 2, 3, 6, 10, 16, 27, 45, 73, 120, 194, 310, 488, 747, 1101, 1546, 2047, 2549, 2994, 3348, 3607, 3785, 3901, 3975, 4024, 4050, 4068, 4079, 4085, 4089, 4092, 4093, 4094]
-    return np.array([(at[(d >> 7) + 16] * (128 - (d & 127)) + at[min(32, (d >> 7) + 17)] * (d & 127) + 64) >> 7 for d in range(-2047, 2048)], I32)
+    def __init__(self):
+        self.hits = [np.full(p.max() + 1, 1, I64) for p in PARTS]
+        self.seen = [np.full(p.max() + 1, 3, I64) for p in PARTS]
+        self.w = [20_000, 20_000, 40_000]  # of 65,536
+        self.mix()
 
+    def mix(self) -> None:
+        self.st = [STRETCH[np.clip((h << 12) // n, 1, 4095)][p] for h, n, p in zip(self.hits, self.seen, PARTS)]
+        self.p = SQUASH[np.clip(sum(w * s for w, s in zip(self.w, self.st)) >> 16, -2047, 2047) + 2047]
 
-SQUASH = _squash()
-#: Its inverse: the least argument that reaches each probability.
-STRETCH = (np.searchsorted(SQUASH, np.arange(4096)).clip(0, 4094) - 2047).astype(np.int64)
+    def learn(self, seen: np.ndarray, hits: np.ndarray) -> None:
+        """Adapt to how often each state came and hit."""
+        n = int(seen.sum())
+        if n:
+            err = (hits << 12) - seen * self.p
+            self.w = [min(1 << 17, max(-(1 << 15), w + int((err * s).sum()) // n // 64)) for w, s in zip(self.w, self.st)]
+        for k, p in enumerate(PARTS):
+            self.hits[k] += np.bincount(p, hits, len(self.hits[k])).astype(I64)
+            self.seen[k] += np.bincount(p, seen, len(self.seen[k])).astype(I64)
+        self.mix()
 
 
 class Model:
-    """The adaptive state of every lane; frozen within an epoch."""
-
-    def __init__(self, lanes: int):
-        self.lanes, self.at = lanes, np.arange(lanes)
-        self.t2, self.t1 = np.zeros(lanes * SLOTS, I32), np.zeros(lanes * SLOTS, I32)
-        self.p = [np.full((lanes, n), 1 << 15, np.int64) for n in (8, 16, 1)]
-        self.w = np.full((3, lanes), 26_000, np.int64)
-        self.counts, self.classes = np.zeros((lanes, CLASSES), I32), self.at * CLASSES
-        self.slot, self.s2, self.s1 = self.at * SLOTS, self.at * 8, self.at * 16
+    """The adaptive state of a block; frozen within an epoch.
+
+    ``sizes``: bits of the count of each of the block's ids, which go by their rank in it.
+    """
+
+    def __init__(self, sizes: np.ndarray):
+        self.n = len(sizes)
+        self.t1, self.t2 = np.full(self.n + 1, NONE, I32), np.full(1 << SLOTS, NONE, I32)
+        self.second, self.first = Chance(), Chance()
+        self.counts = (3 << sizes.astype(I64)) >> 1  # between the least and the greatest such count, twice
         self.freeze()
-        self.refresh(None)
 
     def freeze(self) -> None:
-        """Weighted evidence of each context for the epoch to come."""
-        self.st = [STRETCH[p >> 4] for p in self.p]
-        self.evidence = [(w[:, None] * st).ravel().astype(I32) for w, st in zip(self.w, self.st)]
-
-    def refresh(self, ids: np.ndarray | None, seen: int = 0) -> None:
-        """Count a run of ids (steps x lanes) and set the order-0 frequencies; ``seen``: ids so far, a power of two."""
-        if ids is not None:
-            self.counts += np.bincount(((ids >> SHIFT) + self.classes).ravel(), minlength=self.lanes * CLASSES).reshape(self.lanes, CLASSES).astype(I32)
-        freq = (self.counts * I32(TOTAL - CLASSES) >> max(0, seen.bit_length() - 1)) + I32(1)
-        freq[:, 0] += TOTAL - freq.sum(axis=1, dtype=I32)
-        self.freq, self.cum = freq.ravel(), (np.cumsum(freq, axis=1, dtype=I32) - freq).ravel()
+        """What an epoch codes with: frequencies of the first part by state and outcome, and order-0 places."""
+        a = np.where(HAS2, np.maximum(self.second.p * 4000 >> 12, 1), 0)
+        b = np.where(HAS1, np.maximum(self.first.p * (4000 - a) >> 12, 1), 0)
+        self.freq = np.stack([a, b, 4096 - a - b], axis=1).ravel().astype(U64)
+        self.start = np.stack([a * 0, a, a + b], axis=1).ravel().astype(U64)
+        self.ends = a.astype(U64), (a + b).astype(U64)
+        total = int(self.counts.sum())
+        freq = self.counts * ((1 << SECOND) - self.n) // total + 1
+        freq[0] += (1 << SECOND) - int(freq.sum())
+        self.count = np.zeros(NONE + 1, I32)  # no candidate: nothing to take out
+        self.cum = np.zeros(NONE + 1, I32)
+        self.count[: self.n] = freq
+        self.cum[: self.n] = np.cumsum(freq) - freq
+        self.bucket = np.zeros(NONE + 1, I32)
+        self.bucket[: self.n] = np.searchsorted([2, 6, 20, 60, 200, 600, 2000], freq, side="right")
 
     def inverse(self) -> np.ndarray:
-        """For decoding: the class at each of the TOTAL places of a lane."""
-        return np.repeat(np.tile(np.arange(CLASSES, dtype=np.int16), self.lanes), self.freq)
+        """For decoding: the id at each order-0 place."""
+        return np.repeat(np.arange(self.n, dtype=np.uint16), self.count[: self.n])
 
     def predict(self, a: np.ndarray, b: np.ndarray):
-        """Candidates and chances (12 bits) of a hit after ids ``b`` then ``a`` (lanes last), and what led to them."""
-        h = a * I32(40503)
-        i1 = ((h >> 5) & (SLOTS - 1)) + self.slot
-        i2 = (((h ^ (b * I32(30011) + (b >> 3))) >> 4) & (SLOTS - 1)) + self.slot
-        e2, e1 = self.t2.take(i2), self.t1.take(i1)
-        c2, c1 = e2 >> 16, e1 >> 16
-        candidate = np.where(c2 > 0, e2, e1) & 0xFFFF
-        s2 = self.s2 + c2
-        s1 = self.s1 + (c1 << 1) + ((e1 & 0xFFFF) == candidate)
-        dot = self.evidence[0].take(s2) + self.evidence[1].take(s1)
-        dot += self.evidence[2]
-        dot >>= 16
-        np.minimum(dot, 2047, out=dot)
-        np.maximum(dot, -2047, out=dot)
-        dot += 2047
-        return candidate, SQUASH.take(dot), (i2, i1, e2, e1, s2, s1)
-
-    def learn(self, ids: np.ndarray, hit: np.ndarray, p: np.ndarray, how) -> None:
-        """Adapt to an epoch (steps x lanes)."""
-        i2, i1, e2, e1, s2, s1 = how
-        err = ((hit.astype(I32) << 12) - p).astype(np.float64)
-        pull = [err.sum(axis=0).astype(np.int64) * self.st[2][:, 0]]
-        n, h = [np.full((self.lanes, 1), len(ids))], [hit.sum(axis=0)[:, None]]
-        for s, table, st in ((s1, self.p[1], self.st[1]), (s2, self.p[0], self.st[0])):
-            both = np.bincount(((s << 1) + hit).ravel(), minlength=2 * table.size).reshape(*table.shape, 2)
-            n.insert(0, both.sum(axis=2))
-            h.insert(0, both[:, :, 1])
-            by = np.bincount(s.ravel(), weights=err.ravel(), minlength=table.size).reshape(table.shape)  # whole numbers
-            pull.insert(0, (by.astype(np.int64) * st).sum(axis=1))
-        for k in range(3):
-            self.w[k] = np.clip(self.w[k] + (pull[k] * 7 >> 16), -(1 << 17), 1 << 17)
-            self.p[k] += ((h[k] << 16) - n[k] * self.p[k]) // (n[k] + 16)
-            np.clip(self.p[k], 32, 65503, out=self.p[k])
-        fresh = ids + I32(1 << 16)
-        for t, i, e in ((self.t2, i2, e2), (self.t1, i1, e1)):
-            more = np.minimum(e >> 16, 6)
-            more *= (e & 0xFFFF) == ids
-            t[i] = fresh + (more << 16)
+        """State, table entries and candidates, the order-2 slot, after ids ``b`` then ``a``."""
+        slot = (a * I32(0x1E3779B1) + b * I32(0x05EBCA6B)) * I32(0x42B2AE35) >> I32(32 - SLOTS) & I32((1 << SLOTS) - 1)
+        e2, e1 = self.t2.take(slot, mode="clip"), self.t1.take(a, mode="clip")
+        c2, c1 = e2 & I32(ONE - 1), e1 & I32(ONE - 1)
+        state = (e2 >> I32(17)) << I32(3)
+        state |= e1 >> I32(17)
+        state <<= I32(1)
+        state |= c1 == c2
+        state <<= I32(3)
+        state |= self.bucket.take(np.minimum(c1, c2), mode="clip")
+        return state, e2, e1, c2, c1, slot
+
+    def exclude(self, c2: np.ndarray, c1: np.ndarray):
+        """The places of both candidates, the lower first, and their frequencies."""
+        lo, hi = np.minimum(c2, c1), np.maximum(c2, c1)
+        return self.cum.take(lo, mode="clip"), self.cum.take(hi, mode="clip"), self.count.take(lo, mode="clip"), self.count.take(hi, mode="clip") * (lo != hi)
+
+    def learn(self, x, a, state, e2, e1, c2, c1, slot) -> None:
+        """Adapt to ids ``x`` that followed ``a`` (flat, in step order)."""
+        hit2, hit1 = x == c2, x == c1
+        outcome = np.where(hit2, I32(0), I32(2) - hit1)
+        by = np.bincount(state * I32(3) + outcome, minlength=3 * STATES).reshape(STATES, 3)
+        self.second.learn(by.sum(axis=1) * HAS2, by[:, 0] * HAS2)
+        self.first.learn((by[:, 1] + by[:, 2]) * HAS1, by[:, 1] * HAS1)
+        self.counts += np.bincount(x, minlength=self.n) << 1
+        fresh = x + I32(ONE)
+        for table, at, e, hit in ((self.t2, slot, e2, hit2), (self.t1, a, e1, hit1)):
+            n = e >> I32(17)
+            table[at] = np.where(hit, e + GAIN.take(n), np.where(n > 1, e - LOSS.take(n), fresh))
         self.freeze()
 
 
-def encode(blocks: list[np.ndarray]) -> list[bytes]:
-    """Payloads of blocks of ids (each 1 to BLOCK long, ids below 65,536)."""
-    if len(blocks) > ENCODED:  # more at once would leave the processor's caches
-        return [x for i in range(0, len(blocks), ENCODED) for x in encode(blocks[i : i + ENCODED])]
-    order = sorted(range(len(blocks)), key=lambda i: -len(blocks[i]))
-    size = np.array([len(blocks[i]) for i in order])
-    lanes, steps = len(order), int(size[0])
-    ids = np.zeros((steps + 2, lanes), I32)  # two steps before the first
-    for k, i in enumerate(order):
-        ids[2 : 2 + size[k], k] = blocks[i]
-    model, active = Model(lanes), np.searchsorted(-size, -np.arange(steps), side="left")
-    words, sent, carried = np.zeros((steps, 3, lanes), np.uint16), np.zeros((steps, 3, lanes), bool), np.zeros((steps, lanes), bool)
+def _alphabet(sizes: np.ndarray) -> np.ndarray:
+    """The block's ids by rank, the most frequent sizes first."""
+    present = np.flatnonzero(sizes)
+    return present[np.argsort(-sizes[present].astype(I64), kind="stable")]
+
+
+def encode(ids: np.ndarray) -> bytes:
+    """The payload of one block of 1 to BLOCK ids below 65,536."""
+    n = len(ids)
+    lanes, steps = shape(n)
+    sizes = np.frexp(np.bincount(ids, minlength=1 << 16).astype(np.float64))[1].astype(np.uint8)  # bits of each count
+    letters = _alphabet(sizes)
+    rank = np.zeros(1 << 16, I32)
+    rank[letters] = np.arange(len(letters))
+    grid = np.zeros((lanes, steps), I32)
+    grid.ravel()[:n] = rank[ids]
+    grid = np.concatenate([np.zeros((2, lanes), I32), grid.T])  # two steps before the first
+    active = -(-(n - np.arange(steps)) // steps)  # the first lanes still have an id at a step
+    words, sent, carried = np.zeros((steps, lanes), U32), np.zeros((steps, lanes), bool), np.zeros((steps, lanes), bool)
     low, rng = np.zeros(lanes, U64), np.full(lanes, ~U64(0))
-    begin = since = 0
-    for end in [min(e, steps) for e in ENDS if e - steps < 64]:
-        if end <= begin:
-            break
-        x = ids[begin + 2 : end + 2]
-        candidate, p, how = model.predict(ids[begin + 1 : end + 1], ids[begin:end])
-        hit = candidate == x
-        at = (x >> SHIFT) + model.classes
-        f = model.freq.take(at)
-        add = ((model.cum.take(at) << SHIFT) + (x & (CLASS - 1)) * f).astype(U64)
-        f, chance, missed = f.astype(U64), p.astype(U64), (~hit).astype(U64)
+    model, lane = Model(sizes[letters]), np.arange(lanes)
+    for begin, end in epochs(steps):
+        x, a, b = grid[begin + 2 : end + 2], grid[begin + 1 : end + 1], grid[begin:end]
+        how = model.predict(a, b)
+        state, _, _, c2, c1, _ = how
+        outcome = np.where(x == c2, I32(0), I32(2) - (x == c1))
+        miss = outcome == 2
+        cum2, cum1, y2, y1 = model.exclude(c2, c1)
+        start = model.cum.take(x, mode="clip")
+        start = ((start - y2 * (cum2 < start) - y1 * (cum1 < start)) * miss).astype(U64)
+        freq, total = np.where(miss, model.count.take(x, mode="clip"), 1).astype(U64), np.where(miss, (1 << SECOND) - y2 - y1, 1).astype(U64)
+        which = state * I32(3) + outcome
+        start1, freq1 = model.start.take(which, mode="clip"), model.freq.take(which, mode="clip")
         for k in range(end - begin):
             t = begin + k
-            n = int(active[t])
-            lo, rg = low[:n], rng[:n]
-            split = (rg >> U64(12)) * chance[k, :n]
-            r = (rg - split) >> U64(LITERAL)
-            more = (split + r * add[k, :n]) * missed[k, :n]
+            m = int(active[t])
+            lo, rg = low[:m], rng[:m]
+            r = rg >> U64(FIRST)
+            more = r * start1[k, :m]
+            r *= freq1[k, :m]
+            r //= total[k, :m]
+            more += r * start[k, :m]
             lo += more
-            np.less(lo, more, out=carried[t, :n])
-            rg[:] = np.where(hit[k, :n], split, r * f[k, :n])
-            for j in range(3):
-                small = np.less(rg, TOP, out=sent[t, j, :n])
-                if not small.any():
-                    break
-                words[t, j, :n] = lo >> U64(48)
-                shift = small.astype(U64) << U64(4)
-                lo <<= shift
-                rg <<= shift
-        model.learn(x, hit, p, how)
-        if end in UPDATES:
-            model.refresh(ids[since + 2 : end + 2], end)
-            since = end
-        begin = end
+            np.less(lo, more, out=carried[t, :m])
+            np.multiply(r, freq[k, :m], out=rg)
+            small = np.less(rg, FULL, out=sent[t, :m])
+            words[t, :m] = lo >> WORD
+            shift = small.astype(U64) << U64(5)
+            lo <<= shift
+            rg <<= shift
+        known = None if n == lanes * steps else (lane * steps + np.arange(begin, end)[:, None] < n).ravel()
+        model.learn(*(v.ravel() if known is None else v.ravel()[known] for v in (x, a, *how)))
     before = low.copy()
-    low += TOP - U64(1)  # a word that lies within the range; all further ones are zero
-    count = np.cumsum(sent.sum(axis=1), axis=0)  # words of a lane up to each step
-    t, lane = np.nonzero(carried)
-    prior = np.where(t > 0, count[t - 1, lane], 0) - 1
+    low += FULL - U64(1)  # a word that lies within the range; all further ones are zero
+    kept, flat = sent.T, words.T
+    made = flat[kept].astype(I64)  # lane after lane
+    size = kept.sum(axis=1)
+    first = np.cumsum(size) - size
+    t, at = np.nonzero(carried)
+    prior = np.cumsum(sent, axis=0, dtype=np.int16)[t, at].astype(I64) - sent[t, at] - 1
     last = np.flatnonzero(low < before)
-    out: list[bytes] = [b""] * lanes
-    flat, kept = words.reshape(-1, lanes).T, sent.reshape(-1, lanes).T
-    made = flat[kept].astype(np.int64)  # lane after lane
-    start = np.concatenate([[0], np.cumsum(kept.sum(axis=1))])
-    np.add.at(made, start[lane] + prior, 1)
-    np.add.at(made, start[last + 1] - 1, 1)
-    while (over := np.flatnonzero(made > 0xFFFF)).size:
-        made[over] -= 1 << 16
+    np.add.at(made, first[at] + prior, 1)
+    np.add.at(made, (first + size)[last] - 1, 1)
+    while (over := np.flatnonzero(made >> 32)).size:
+        made[over] -= 1 << 32
         np.add.at(made, over - 1, 1)
-    made = made.astype("<u2")
-    tail = (low >> U64(48)).astype("<u2")
-    for k, i in enumerate(order):
-        out[i] = made[start[k] : start[k + 1]].tobytes() + tail[k].tobytes()
-    return out
-
-
-def decode(payloads: list[bytes], sizes: list[int]) -> list[np.ndarray]:
-    """The ids of blocks from their payloads and lengths."""
-    order = sorted(range(len(sizes)), key=lambda i: -sizes[i])
-    size = np.array([sizes[i] for i in order])
-    lanes, steps = len(order), int(size[0])
-    width = max(len(p) for p in payloads) // 2 + 8
-    words = np.zeros((lanes, width), np.uint16)
-    for k, i in enumerate(order):
-        words[k, : len(payloads[i]) // 2] = np.frombuffer(payloads[i], "<u2")
-    words, place = words.ravel().astype(U64), np.arange(lanes) * width + 4
-    limit = np.arange(1, lanes + 1) * width - 1
-    model, active = Model(lanes), np.searchsorted(-size, -np.arange(steps), side="left")
-    ids = np.zeros((steps + 2, lanes), I32)
-    code, rng = np.zeros(lanes, U64), np.full(lanes, ~U64(0))
-    for k in range(4):
-        code = code << U64(16) | words[np.arange(lanes) * width + k]
-    begin = since = 0
-    inverse, places = model.inverse(), model.at * TOTAL
-    classes, most = model.at * CLASSES, U64((1 << LITERAL) - 1)
-    for end in [min(e, steps) for e in ENDS if e - steps < 64]:
-        if end <= begin:
-            break
-        hits, chances, hows = np.zeros((end - begin, lanes), bool), np.zeros((end - begin, lanes), I32), []
+    body = np.insert(made, first + size, (low >> WORD).astype(I64))
+    head = zlib.compress(sizes.tobytes(), 6)
+    return len(head).to_bytes(4, "little") + head + (size + 1).astype("<u2").tobytes() + body.astype("<u4").tobytes()
+
+
+def decode(payload: bytes, n: int) -> np.ndarray:
+    """The ids of a block from its payload and length."""
+    lanes, steps = shape(n)
+    head = 4 + int.from_bytes(payload[:4], "little")
+    sizes = np.frombuffer(zlib.decompress(payload[4:head]), np.uint8)
+    letters = _alphabet(sizes)
+    long = np.frombuffer(payload, "<u2", lanes, head).astype(I64)
+    words = np.frombuffer(payload[head + 2 * lanes :] + bytes(8), "<u4").astype(U64)
+    stop, nothing = np.cumsum(long), len(words) - 1  # beyond a lane's end come zeros
+    place = stop - long
+    code = words[place] << WORD | np.where(long > 1, words[place + 1], U64(0))
+    place += 2
+    active = -(-(n - np.arange(steps)) // steps)
+    grid = np.zeros((steps + 2, lanes), I32)
+    rng, model, lane = np.full(lanes, ~U64(0)), Model(sizes[letters]), np.arange(lanes)
+    for begin, end in epochs(steps):
+        inverse, hows = model.inverse(), []
         for t in range(begin, end):
-            n = int(active[t])
-            candidate, p, how = model.predict(ids[t + 1], ids[t])
+            m = int(active[t])
+            how = model.predict(grid[t + 1], grid[t])
             hows.append(how)
-            chances[t - begin] = p
-            cd, rg = code[:n], rng[:n]
-            split = (rg >> U64(12)) * p[:n].astype(U64)
-            hit = np.less(cd, split, out=hits[t - begin, :n])
-            r = (rg - split) >> U64(LITERAL)
-            left = cd - split
-            v = np.minimum(left // r, most).astype(np.int64)
-            v[hit] = 0
-            part = inverse.take(places[:n] + (v >> SHIFT))
-            at = classes[:n] + part
-            f, base = model.freq.take(at).astype(np.int64), model.cum.take(at).astype(np.int64) << SHIFT
-            rest = (v - base) // f
-            x = np.where(hit, candidate[:n], (part.astype(np.int64) << SHIFT) + rest)
-            ids[t + 2, :n] = x
-            cd[:] = np.where(hit, cd, left - r * (base + rest * f).astype(U64))
-            rg[:] = np.where(hit, split, r * f.astype(U64))
-            small = np.flatnonzero(rg < TOP)
-            while small.size:
-                at = place[small]
-                cd[small] = cd[small] << U64(16) | words[np.minimum(at, limit[small])]
-                place[small] = at + 1
-                rs = rg[small] << U64(16)
-                rg[small] = rs
-                small = small[rs < TOP]
-        x = ids[begin + 2 : end + 2]
-        how = tuple(np.stack(z) for z in zip(*hows))
-        hits = how_hit(x, how) if len(active) and active[end - 1] < lanes else hits
-        model.learn(x, hits, chances, how)
-        if end in UPDATES:
-            model.refresh(ids[since + 2 : end + 2], end)
-            since, inverse = end, model.inverse()
-        begin = end
-    out: list[np.ndarray] = [None] * lanes
-    for k, i in enumerate(order):
-        out[i] = ids[2 : 2 + size[k], k].astype("<u2")
-    return out
-
-
-def how_hit(ids: np.ndarray, how) -> np.ndarray:
-    """The hits of an epoch as the encoder sees them, also beyond the end of a block."""
-    _, _, e2, e1, _, _ = how
-    return (np.where(e2 >> 16 > 0, e2, e1) & 0xFFFF) == ids
+            state, _, _, c2, c1, _ = (v[:m] for v in how)
+            cd, rg = code[:m], rng[:m]
+            r = rg >> U64(FIRST)
+            v = cd // r
+            outcome = (v >= model.ends[0].take(state, mode="clip")).astype(I32)
+            outcome += v >= model.ends[1].take(state, mode="clip")
+            which = state * I32(3) + outcome
+            cd -= r * model.start.take(which, mode="clip")
+            r *= model.freq.take(which, mode="clip")
+            miss = outcome == 2
+            cum2, cum1, y2, y1 = model.exclude(c2, c1)
+            r //= np.where(miss, (1 << SECOND) - y2 - y1, 1).astype(U64)
+            v = (cd // r).astype(I32) * miss
+            at = v + y2 * (v >= cum2)  # step over the candidates that were taken out
+            at += y1 * (at >= cum1)
+            x = np.where(miss, inverse.take(at, mode="clip"), np.where(outcome == 0, c2, c1)).astype(I32)
+            grid[t + 2, :m] = x
+            v -= at - model.cum.take(x, mode="clip")
+            v *= miss
+            cd -= r * v.astype(U64)
+            np.multiply(r, np.where(miss, model.count.take(x, mode="clip"), 1).astype(U64), out=rg)
+            small = np.flatnonzero(rg < FULL)
+            at = place[small]
+            cd[small] = cd[small] << WORD | words[np.where(at < stop[small], at, nothing)]
+            place[small] = at + 1
+            rg[small] <<= WORD
+        known = None if n == lanes * steps else (lane * steps + np.arange(begin, end)[:, None] < n).ravel()
+        flat = grid[begin + 2 : end + 2], grid[begin + 1 : end + 1], *(np.concatenate(z) for z in zip(*hows))
+        model.learn(*(v.ravel() if known is None else v.ravel()[known] for v in flat))
+    return letters[np.ascontiguousarray(grid[2:].T).ravel()[:n]].astype("<u2")
 
 
 def checksum(ids: np.ndarray) -> int:

@@ -2,13 +2,13 @@
 
 Writing: texts are range-partitioned and sorted by (doc_id, text digest), encoded, and
 each partition writes one file of independently decodable blocks to the shared folder,
-a batch of blocks at a time.  A file gets a name of its own for each attempt; only the
+a block at a time.  A file gets a name of its own for each attempt; only the
 files that the finished tasks name are ever read, so a lost executor costs a retry.
 
 A file: magic, blocks, a table of documents (ids, null flags, lengths), a table of
 blocks (place, ids, bytes, CRC-32), a trailer with the places and a CRC-32 of both tables.
 
-Reading: one task for each file decodes it batch by batch and checks every block.  The
+Reading: one task for each file decodes it block by block and checks each.  The
 driver holds one row for each file and adds up where it starts.
 
 Defined cases: null or empty texts hold the end id only; null ``doc_id`` sorts first;
@@ -30,18 +30,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import idcoder
-from .common import batch, filesystem, fresh_dir, materialize, ship, text_or_empty, utf8
+from .common import batch, filesystem, fresh_dir, materialize, ship, text_or_empty
 from .tokens import default_path, encoder
 
-MAGIC, END_ID = b"LCMX0001", 2
+MAGIC, END_ID = b"LCMX0002", 2
 TRAILER = struct.Struct("<QQQQQQI8s")  # documents, blocks, ids, document table place and length, block table place, CRC, magic
-ROWS = idcoder.BLOCK * idcoder.LANES
 MANIFEST = pa.schema([("part", pa.int64()), ("path", pa.string()), ("n_docs", pa.int64()), ("n_ids", pa.int64()), ("n_bytes", pa.int64())])
 READ = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64())])
 
 
 class FileWriter:
-    """Collects documents and writes whole batches of blocks as they fill."""
+    """Collects documents and writes blocks as they fill."""
 
     def __init__(self, out):
         self.out, self.at = out, len(MAGIC)
@@ -54,21 +53,20 @@ class FileWriter:
         self.lens.append(len(ids))
         self.n_ids += len(ids)
         while len(ids):
-            part, ids = ids[: ROWS - self.n_held], ids[ROWS - self.n_held :]
+            part, ids = ids[: idcoder.BLOCK - self.n_held], ids[idcoder.BLOCK - self.n_held :]
             self.held.append(part)
             self.n_held += len(part)
-            if self.n_held == ROWS:
+            if self.n_held == idcoder.BLOCK:
                 self._flush()
 
     def _flush(self) -> None:
         if not self.n_held:
             return
         ids = np.concatenate(self.held)
-        blocks = [ids[i : i + idcoder.BLOCK] for i in range(0, len(ids), idcoder.BLOCK)]
-        for b, data in zip(blocks, idcoder.encode(blocks)):
-            self.blocks.append((self.at, len(b), len(data), idcoder.checksum(b)))
-            self.out.write(data)
-            self.at += len(data)
+        data = idcoder.encode(ids)
+        self.blocks.append((self.at, len(ids), len(data), idcoder.checksum(ids)))
+        self.out.write(data)
+        self.at += len(data)
         self.held, self.n_held = [], 0
 
     def close(self) -> int:
@@ -98,21 +96,20 @@ class FileReader:
         self.blocks = np.frombuffer(raw[table - at :], "<u8").reshape(-1, 4).astype(np.int64)
         self.f = f
 
-    def _batches(self) -> Iterator[np.ndarray]:
-        for k in range(0, self.n_blocks, idcoder.LANES):
-            rows = self.blocks[k : k + idcoder.LANES]
-            self.f.seek(int(rows[0, 0]))
-            raw = self.f.read(int(rows[:, 2].sum()))
-            ends = np.cumsum(rows[:, 2])
-            made = idcoder.decode([raw[e - n : e] for e, n in zip(ends.tolist(), rows[:, 2].tolist())], rows[:, 1].tolist())
-            for ids, crc in zip(made, rows[:, 3].tolist()):
-                if idcoder.checksum(ids) != crc:
-                    raise ValueError("a block is damaged")
-            yield np.concatenate(made)
+    def _blocks(self) -> Iterator[np.ndarray]:
+        for at, n, size, crc in self.blocks.tolist():
+            self.f.seek(at)
+            try:
+                ids = idcoder.decode(self.f.read(size), n)
+            except (ValueError, IndexError, zlib.error) as e:
+                raise ValueError("a block is damaged") from e
+            if idcoder.checksum(ids) != crc:
+                raise ValueError("a block is damaged")
+            yield ids
 
     def documents(self) -> Iterator[tuple[int | None, Iterator[np.ndarray]]]:
         """(doc_id, its ids in parts) of every document."""
-        parts, now = self._batches(), np.zeros(0, "<u2")
+        parts, now = self._blocks(), np.zeros(0, "<u2")
 
         def ids_of(n):
             nonlocal now
@@ -135,12 +132,12 @@ def write_part(folder: str, path: str, end_id: int):
         fs, base = filesystem(folder)
         name, writer, out = f"{base}/part-{part:06d}-{uuid.uuid4().hex}.lcm", None, None
         for b in batches:
-            for doc_id, text in zip(b.column(0).to_pylist(), utf8(b.column(1))):
+            for doc_id, ids in zip(b.column(0).to_pylist(), enc.encode_many(b.column(1))):
                 if writer is None:
                     fs.create_dir(base, recursive=True)
                     out = fs.open_output_stream(name)
                     writer = FileWriter(out)
-                writer.add(doc_id, np.concatenate([np.frombuffer(enc.encode(text), "<u2"), end]))
+                writer.add(doc_id, np.concatenate([ids, end]))
         if writer:
             size = writer.close()
             out.close()
