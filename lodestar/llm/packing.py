@@ -1,13 +1,15 @@
 """Best-fit packing with bounded space.
 
 Documents become ids with an end id; only those longer than a sequence are cut, into
-full pieces and a rest.  Pieces fall into groups of about ``GROUP`` by a hash of what
-they are, so groups are even whatever the sources are; each group is packed by one pass
-over its pieces, longest first.  At most ``open_bins`` bins are open.  A bitset has bit f
-set while a bin with f free places is open, so the best fit for a piece of n is the
-lowest set bit at or over n.  When a bin must open and all are taken, the fullest closes.
-A full piece is a sequence of its own.  State is bounded by the open bins, whatever a
-group holds; sequence numbers are ``group * 2**40 + n``, so reruns agree.
+full pieces and a rest.  The pieces are written once and fall into groups of about
+``GROUP`` by a hash of what they are, so groups are even whatever the sources are; rows
+alike beyond ``GROUP`` are dealt out by number.  Each group is packed
+online, piece after piece in the order of that hash.  At most ``open_bins`` bins are open.
+A bitset has bit f set while a bin with f free places is open, so the best fit for a
+piece of n is the lowest set bit at or over n.  When a bin must stay open and all are
+taken, the fullest closes.  A full piece is a sequence of its own and closes none.  State
+is bounded by the open bins, whatever a group holds; sequence numbers are
+``group * 2**40 + n``, so reruns agree (but where one row is repeated ``GROUP`` times over).
 
 Defined cases: a null or empty text is one piece that holds the end id only; repeated
 rows are packed once each; null ``doc_id`` stays null; an empty table gives no pieces;
@@ -25,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch, materialize, ship, text_or_empty, utf8
+from .common import batch, materialize, ship, text_or_empty
 from .tokens import default_path, encoder
 
 CAPACITY, GROUP, OPEN_BINS, END_ID = 4096, 65_536, 4096, 1
@@ -41,8 +43,8 @@ def cut(path: str, capacity: int, end_id: int, keep_ids: bool):
         enc, end = encoder(path), np.array([end_id], "<u4")
         for b in batches:
             out = {f.name: [] for f in PIECES}
-            for doc_id, text in zip(b.column(0).to_pylist(), utf8(b.column(1))):
-                ids = np.concatenate([np.frombuffer(enc.encode(text), "<u2").astype("<u4"), end])
+            for doc_id, ids in zip(b.column(0).to_pylist(), enc.encode_many(b.column(1))):
+                ids = np.concatenate([ids.astype("<u4"), end])
                 for k, at in enumerate(range(0, len(ids), capacity)):
                     part = ids[at : at + capacity]
                     out["doc_id"].append(doc_id)
@@ -85,7 +87,7 @@ class Packer:
             free = n + (fits & -fits).bit_length() - 1
             number = self._take(free)
         else:
-            if self.open == self.most:
+            if self.open == self.most and n < self.capacity:
                 self._take((self.bits & -self.bits).bit_length() - 1)  # the fullest closes
             free, number = self.capacity, self.made
             self.made += 1
@@ -93,7 +95,7 @@ class Packer:
         return number, self.capacity - free
 
 
-def pack_sorted(capacity: int, open_bins: int):
+def pack_groups(capacity: int, open_bins: int):
     """A mapInArrow function over pieces in group order: adds where each piece lies."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -120,13 +122,18 @@ def token_pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPAC
 
 
 def pack_pieces(pieces: DataFrame, capacity: int = CAPACITY, open_bins: int = OPEN_BINS, group: int = GROUP) -> DataFrame:
-    """Places for a written table of pieces; ``ids`` aren't moved."""
+    """Places for a written table of pieces with a number ``alike`` for each."""
     groups = max(1, math.ceil(pieces.count() / group))
-    keyed = pieces.select("doc_id", "piece", "start", "length", "ids_crc32", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(groups)).alias("grp"))
-    ordered = keyed.repartition(max(1, min(groups, 1 << 15)), "grp").sortWithinPartitions("grp", F.desc("length"), "doc_id", "piece", "ids_crc32")
-    return ordered.mapInArrow(pack_sorted(capacity, open_bins), PLACED_DDL)
+    keyed = pieces.withColumn("key", F.xxhash64("doc_id", "piece", "ids_crc32"))
+    # rows that are alike beyond a group's size are dealt out by their number; at most `groups` such keys (8 bytes each)
+    often = keyed.groupBy("key").count().where(F.col("count") > group).select("key", F.lit(True).alias("often"))
+    key = F.when(F.col("often"), F.xxhash64("key", "alike")).otherwise(F.col("key"))
+    keyed = keyed.join(F.broadcast(often), "key", "left").withColumn("key", key).withColumn("grp", F.pmod("key", F.lit(groups)))
+    ordered = keyed.repartition(max(1, min(groups, 1 << 15)), "grp").sortWithinPartitions("grp", "key", "doc_id", "piece", "ids_crc32")
+    return ordered.mapInArrow(pack_groups(capacity, open_bins), PLACED_DDL)
 
 
 def best_fit_pack(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, open_bins: int = OPEN_BINS) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset for every piece."""
-    return pack_pieces(materialize(token_pieces(docs, path, capacity).drop("ids"), "pieces"), capacity, open_bins)
+    pieces = token_pieces(docs, path, capacity).drop("ids").withColumn("alike", F.monotonically_increasing_id())
+    return pack_pieces(materialize(pieces, "pieces"), capacity, open_bins)
