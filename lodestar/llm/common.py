@@ -50,14 +50,18 @@ def materialize(df: DataFrame, what: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def numbered(docs: DataFrame) -> DataFrame:
-    """``docs`` with a number in ``__row``, written once: however a later scan is split, a row keeps its number."""
-    return materialize(docs.withColumn("__row", F.monotonically_increasing_id()), "numbered")
-
-
-def row_number(docs: DataFrame):
-    """The number that ``numbered`` gave, or one that holds for this scan only."""
-    return (F.col("__row") if "__row" in docs.columns else F.monotonically_increasing_id()).alias("row_id")
+def free_name(docs: DataFrame, name: str) -> str:
+    """``name``, or with underscores until no column of ``docs`` is called so."""
+    taken = {c.lower() for c in docs.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def numbered(docs: DataFrame) -> tuple[DataFrame, str]:
+    """``docs`` with a number for each row, written once: however a later scan is split, a row keeps it.  Second: its column."""
+    name = free_name(docs, "lodestar_row")
+    return materialize(docs.withColumn(name, F.monotonically_increasing_id()), "numbered"), name
 
 
 def filesystem(uri: str):

@@ -24,7 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, numbered, row_number, ship, text_or_empty
+from .common import materialize, numbered, ship, text_or_empty
 
 COUNTERS = 1024
 
@@ -46,9 +46,9 @@ def misra_gries(counters: int):
     return run
 
 
-def digests(docs: DataFrame) -> DataFrame:
-    """(row_id, doc_id, digest) of every row."""
-    return docs.select(row_number(docs), F.col("doc_id").cast("long").alias("doc_id"), F.unhex(F.sha2(text_or_empty().cast("binary"), 256)).alias("digest"))
+def digests(docs: DataFrame, row: str | None = None) -> DataFrame:
+    """(row_id, doc_id, digest) of every row; ``row`` names its number, else one is given that holds for this table."""
+    return docs.select((F.col(row) if row else F.monotonically_increasing_id()).alias("row_id"), F.col("doc_id").cast("long").alias("doc_id"), F.unhex(F.sha2(text_or_empty().cast("binary"), 256)).alias("digest"))
 
 
 def _winners(keys: DataFrame) -> DataFrame:
@@ -80,6 +80,6 @@ def exact_dedup(docs: DataFrame, counters: int = COUNTERS) -> DataFrame:
 def drop_exact_copies(docs: DataFrame, counters: int = COUNTERS) -> DataFrame:
     """``docs`` without the rows that lose; every column stays."""
     ship(docs.sparkSession)
-    placed = numbered(docs)
-    lost = settle(materialize(digests(placed), "digests"), counters).where("not kept").select(F.col("row_id").alias("__row"))
-    return placed.join(lost, "__row", "left_anti").drop("__row")
+    placed, row = numbered(docs)
+    lost = settle(materialize(digests(placed, row), "digests"), counters).where("not kept").select(F.col("row_id").alias(row))
+    return placed.join(lost, row, "left_anti").drop(row)

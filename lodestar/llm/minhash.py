@@ -1,14 +1,17 @@
-"""Near copies by word shingles: min-hash bands find candidates, set similarity confirms.
+"""Near copies at a similarity: SimHash components and min-hash bands propose, shingle sets confirm.
 
 Words, lower-cased A-Z, in shingles of five; two texts are near copies where the Jaccard
-similarity of their shingle sets is 0.8 or more.  Such pairs lie too far apart in SimHash
-(a median of 7 bits near 0.8, by the review) for exact dealing by shared blocks of bits.
-
-1. 128 min-hashes in 32 bands of four: a pair at 0.8 shares a band but for a chance of
-   5 in 10^8, more similar pairs more surely.
-2. In each band bucket every member is held against one leader, exactly.
-3. Buckets whose members are then still in different components are compared in full.
-4. Confirmed pairs only make components; one row of each stays.
+similarity of their shingle sets is 0.8 or more.
+
+1. The SimHash operator (``simhash.near_duplicates``, fingerprints of the same five-word
+   shingles, Gray-order index) gives components of fingerprints within 2 bits.
+2. Pairs near 0.8 lie a median of 7 bits apart, beyond any exact index of 64 bits, so 128
+   min-hashes in 32 bands of four complete it: a pair at 0.8 shares a band but for a
+   chance of 5 in 10^8, more similar pairs more surely.
+3. In each bucket (a component or a band's value) every member is held against one leader,
+   exactly.
+4. Buckets whose members are then still in different components are compared in full.
+5. Confirmed pairs only make components; one row of each stays.
 
 Defined cases: null text is empty; texts without words are copies of each other; fewer
 than five words are one shingle; rows are apart whatever their ``doc_id``.
@@ -20,12 +23,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize, numbered, ship, splitmix, text_or_empty, utf8
 from .components import components
+from .simhash import majority, near_duplicates, shingle_hashes
 
 SHINGLE, BANDS, DEPTH = 5, 32, 4
 U = np.uint64
@@ -33,19 +36,6 @@ TURN = splitmix(np.arange(2 * BANDS * DEPTH, dtype=U)).reshape(2, -1, 1)
 BAND = splitmix(np.arange(1000, 1000 + BANDS, dtype=U))
 
 
-def shingles(text: bytes, size: int = SHINGLE, seed: int = 42) -> np.ndarray:
-    """Sorted distinct hashes of a text's shingles."""
-    ws = text.lower().split()
-    if not ws:
-        return np.zeros(0, U)
-    size = min(size, len(ws))
-    buf = b" ".join(ws)
-    ends = np.cumsum(np.fromiter(map(len, ws), np.int64, len(ws)) + 1)
-    starts = np.concatenate([[0], ends[:-1]])[: len(ws) - size + 1].tolist()
-    ends = (ends[size - 1 :] - 1).tolist()
-    return np.unique(np.array([xxhash.xxh64_intdigest(buf[a:b], seed) for a, b in zip(starts, ends)], U))
-
-
 def bands(h: np.ndarray) -> np.ndarray:
     """A key for each band; texts without words share all."""
     least = np.full(BANDS * DEPTH, ~U(0))
@@ -59,9 +49,11 @@ def bands(h: np.ndarray) -> np.ndarray:
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        sets = [shingles(t) for t in utf8(b.column("text"))]
+        hashes = [list(shingle_hashes(t, SHINGLE)) for t in utf8(b.column("text"))]
+        fps = np.array([majority(h) for h in hashes], U).view(np.int64)
+        sets = [np.unique(np.concatenate([np.zeros(0, U), *h])) for h in hashes]
         keys = [bands(h).view(np.int64) for h in sets]
-        yield pa.RecordBatch.from_arrays([b.column("node"), pa.array([len(h) for h in sets], pa.int64()), pa.array([h.view(np.int64) for h in sets], pa.list_(pa.int64())), pa.array(keys, pa.list_(pa.int64()))], names=["node", "n", "hashes", "bands"])
+        yield pa.RecordBatch.from_arrays([b.column("node"), pa.array([len(h) for h in sets], pa.int64()), pa.array(fps), pa.array([h.view(np.int64) for h in sets], pa.list_(pa.int64())), pa.array(keys, pa.list_(pa.int64()))], names=["node", "n", "fp", "hashes", "bands"])
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -72,11 +64,12 @@ def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.where(9 * F.size(F.array_intersect("ha", "hb")) >= 4 * (F.col("na") + F.col("nb"))).select("a", "b")
 
 
-def near_components(rows: DataFrame) -> DataFrame:
-    """(node, root) of every row of a written table (__row, text) that has a near copy."""
-    source = rows.select(F.col("__row").alias("node"), text_or_empty().alias("text"))
-    sets = materialize(source.mapInArrow(_sets, "node long, n long, hashes array<long>, bands array<long>"), "shingles")
-    keyed = sets.select("node", "n", F.explode("bands").alias("key"))
+def near_components(rows: DataFrame, row: str) -> DataFrame:
+    """(node, root) of every row of a written table (its number in ``row``, text) that has a near copy."""
+    source = rows.select(F.col(row).alias("node"), text_or_empty().alias("text"))
+    sets = materialize(source.mapInArrow(_sets, "node long, n long, fp long, hashes array<long>, bands array<long>"), "shingles")
+    close = near_duplicates(sets.select(F.col("node").alias("doc_id"), "fp")).select("fp", F.xxhash64("root").alias("key"))
+    keyed = sets.select("node", "n", F.explode("bands").alias("key")).unionByName(sets.select("node", "n", "fp").join(close, "fp").drop("fp"))
     lead = keyed.groupBy("key").agg(F.min(F.struct(F.xxhash64("node", "key").alias("r"), "node", "n")).alias("l"), F.count(F.lit(1)).alias("rows")).where("rows > 1")
     shared = materialize(keyed.join(lead.drop("rows"), "key"), "buckets")
     star = shared.where("node <> l.node").select(F.greatest("node", "l.node").alias("a"), F.least("node", "l.node").alias("b"), F.when(F.col("node") > F.col("l.node"), F.col("n")).otherwise(F.col("l.n")).alias("na"), F.when(F.col("node") > F.col("l.node"), F.col("l.n")).otherwise(F.col("n")).alias("nb"))
@@ -94,9 +87,9 @@ def near_components(rows: DataFrame) -> DataFrame:
 def drop_shingle_copies(docs: DataFrame) -> DataFrame:
     """``docs`` with one row of each component (the smallest ``doc_id``, nulls last, the first such row)."""
     ship(docs.sparkSession)
-    placed = numbered(docs)
-    labels = materialize(near_components(placed).withColumnRenamed("node", "__row"), "labels")
-    member = placed.select("__row", F.col("doc_id").cast("long").alias("doc_id")).join(labels, "__row")
-    lead = member.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "__row")).alias("lead")).select("lead.__row")
-    lost = labels.select("__row").join(lead, "__row", "left_anti")
-    return placed.join(lost, "__row", "left_anti").drop("__row")
+    placed, row = numbered(docs)
+    labels = materialize(near_components(placed, row).withColumnRenamed("node", row), "labels")
+    member = placed.select(row, F.col("doc_id").cast("long").alias("doc_id")).join(labels, row)
+    lead = member.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", F.col(row).alias("row"))).alias("lead")).select(F.col("lead.row").alias(row))
+    lost = labels.select(row).join(lead, row, "left_anti")
+    return placed.join(lost, row, "left_anti").drop(row)

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, numbered, row_number, ship
+from .common import free_name, materialize, numbered, ship
 
 WEIGHTS, CAP, BLOCK, SEED = (5.0, 2.0, 1.0), 3.0, 2_000, 17
 #: Sources up to which the table of targets (some 100 bytes a row) is broadcast; a shuffle join beyond.
@@ -165,13 +165,13 @@ def _small(spark, rows: list[tuple], ddl: str) -> DataFrame:
     return F.broadcast(df) if len(rows) <= BROADCAST_SOURCES else df
 
 
-def draw(docs: DataFrame, weights: tuple = WEIGHTS, cap: float = CAP, block: int = BLOCK, seed: int = SEED) -> DataFrame:
+def draw(docs: DataFrame, weights: tuple = WEIGHTS, cap: float = CAP, block: int = BLOCK, seed: int = SEED, row: str | None = None) -> DataFrame:
     """row_id, doc_id, size, source_size, target, times, taken for every row of ``docs`` (doc_id, text, source)."""
     spark = docs.sparkSession
     ship(spark)
     key = F.when(F.col("source").isNull(), F.lit("1")).otherwise(F.concat(F.lit("0"), F.col("source")))  # sorts null last
     size = F.coalesce(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
-    rows = materialize(docs.select(row_number(docs), F.col("doc_id").cast("long").alias("doc_id"), key.alias("src"), size.alias("size")), "sizes")
+    rows = materialize(docs.select((F.col(row) if row else F.monotonically_increasing_id()).alias("row_id"), F.col("doc_id").cast("long").alias("doc_id"), key.alias("src"), size.alias("size")), "sizes")
     stats = sorted((r["src"], r["size"], r["n"]) for r in rows.groupBy("src").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("n")).collect())
     goal = targets([s for _, s, _ in stats], [weights[i % len(weights)] for i in range(len(stats))], cap)
     ratio = [min(cap, g / s) if s else 0.0 for g, (_, s, _) in zip(goal, stats)]
@@ -200,6 +200,7 @@ def mix(docs: DataFrame, **options) -> DataFrame:
 
 def take(docs: DataFrame, **options) -> DataFrame:
     """``docs`` as mixed: every row as often as the mix takes it."""
-    placed = numbered(docs)
-    times = draw(placed, **options).where("times > 0").select(F.col("row_id").alias("__row"), "times")
-    return placed.join(times, "__row").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("times")))).select(*docs.columns)
+    placed, row = numbered(docs)
+    times, copy = free_name(placed, "lodestar_times"), free_name(placed, "lodestar_copy")
+    taken = draw(placed, row=row, **options).where("times > 0").select(F.col("row_id").alias(row), F.col("times").alias(times))
+    return placed.join(taken, row).withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(times)))).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -48,7 +48,7 @@ def odd(spark, tmp_path_factory):
 
     path = f"file://{tmp_path_factory.mktemp('odd')}/t"
     df = spark.createDataFrame(ODD, SCHEMA)
-    for c in ("size", "fp", "row_id", "digest", "grp", "block", "group_size", "score", "kind", "key"):
+    for c in ("size", "fp", "row_id", "digest", "grp", "block", "group_size", "score", "kind", "key", "times", "__row", "__copy", "lodestar_row", "Lodestar_Times", "root", "node", "n", "part", "slice", "role"):
         df = df.withColumn(c, F.lit("x"))
     df.coalesce(2).write.parquet(path)
     return spark.read.parquet(path)

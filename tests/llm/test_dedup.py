@@ -2,11 +2,13 @@ import hashlib
 import random
 
 import numpy as np
+import pytest
 from tests_llm_helpers import brute_components, brute_fp
 
 from lodestar.llm import components as C
 from lodestar.llm import exact_dedup as X
 from lodestar.llm import simhash as S
+from lodestar.llm.common import materialize
 
 
 def held(rows, texts):
@@ -47,7 +49,7 @@ def test_gray_index_finds_every_pair():
     rng = random.Random(3)
     fps = np.array(near(rng, 1500, 3), np.uint64)
     fps = fps[np.argsort(S.gray_rank(fps))]
-    q, m = S.GrayIndex(fps).search(fps)
+    q, m = (np.concatenate(x) for x in zip(*S.GrayIndex(fps).search(fps)))
     want = {(i, j) for i in range(len(fps)) for j in range(len(fps)) if (int(fps[i]) ^ int(fps[j])).bit_count() <= 2}
     assert set(zip(q.tolist(), m.tolist())) == want and len(q) == len(want)
 
@@ -57,14 +59,37 @@ def test_gray_rank_inverts_gray_code():
     assert (S.gray_rank(x ^ (x >> np.uint64(1))) == x).all()
 
 
-def test_hot_buckets_keep_all_links(spark, monkeypatch):
+def test_search_in_parts_finds_the_same(monkeypatch):
+    fps = np.array(near(random.Random(8), 1200, 1), np.uint64)
+    fps = fps[np.argsort(S.gray_rank(fps))]
+    whole = {(a, b) for q, m in S.GrayIndex(fps).search(fps) for a, b in zip(q.tolist(), m.tolist())}
+    monkeypatch.setattr(S, "HELD", 2000)
+    parts = list(S.GrayIndex(fps).search(fps))
+    assert len(parts) > 3 and {(a, b) for q, m in parts for a, b in zip(q.tolist(), m.tolist())} == whole
+
+
+@pytest.mark.parametrize("split", [1 << 18, 100])
+def test_partitions_of_the_index_keep_all_links(spark, split):
+    """Many partitions, and hot ones dealt to several tasks, against brute force."""
     fps = near(random.Random(5), 3000, 2)
     roots = brute_components(fps)
-    monkeypatch.setattr(S, "HOT", 40)
     signed = np.array(fps, np.uint64).view(np.int64).tolist()
-    keys = spark.createDataFrame([(i, f) for i, f in enumerate(signed)], "doc_id long, fp long")
-    got = {r["fp"]: r["component_id"] for r in S.near_duplicates(keys).collect()}
-    assert [got[f] for f in signed] == roots
+    table = materialize(spark.createDataFrame([(f,) for f in signed], "fp long"), "t")
+    links = S.index_links(table, size=60, split=split)
+    assert links.count() > 0
+    got = {r["node"]: r["root"] for r in C.components(links).collect()}
+    first = {}
+    for f, r in zip(signed, roots):
+        first.setdefault(r, set()).add(got.get(f, f))
+    assert all(len(x) == 1 for x in first.values()) and len({min(x) for x in first.values()}) == len(first)
+
+
+def test_all_links_come_from_the_index(spark, sf, docs, monkeypatch):
+    """Far fewer places are visited than there are pairs, and the links are those of brute force."""
+    fps = np.unique(np.array([brute_fp(d["text"]) for d in docs], np.uint64))
+    fps = fps[np.argsort(S.gray_rank(fps))]
+    root = S.forest(fps, fps[:0], np.ones(len(fps), bool))
+    assert root.tolist() == brute_components(fps.tolist())
 
 
 def test_components_of_a_long_chain(spark):

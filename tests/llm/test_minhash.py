@@ -3,17 +3,7 @@
 import random
 
 import corpus_pipeline as P
-
-
-def grams(text):
-    w = (text or "").lower().split()
-    n = min(5, len(w))
-    return {tuple(w[i : i + n]) for i in range(len(w) - n + 1)} if w else set()
-
-
-def alike(a, b):
-    a, b = grams(a), grams(b)
-    return a == b or len(a & b) >= 0.8 * len(a | b)
+from tests_llm_helpers import alike
 
 
 def test_edited_copies_go_and_others_stay(spark, tmp_path):

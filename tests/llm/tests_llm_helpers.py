@@ -42,3 +42,26 @@ def _tokenizer():
 
 def ids_of(text):
     return _tokenizer().encode(text or "", add_special_tokens=False).ids
+
+
+def grams(text):
+    w = (text or "").encode().lower().split()
+    n = min(5, len(w))
+    return {tuple(w[i : i + n]) for i in range(len(w) - n + 1)} if w else set()
+
+
+def alike(a, b):
+    """Near copies: Jaccard similarity of 0.8 or more of five-word shingles."""
+    a, b = (x if isinstance(x, set) else grams(x) for x in (a, b))
+    return a == b or len(a & b) >= 0.8 * len(a | b)
+
+
+def alike_roots(texts):
+    """For each text the first of its component of near copies."""
+    sets, root = [grams(t) for t in texts], list(range(len(texts)))
+    for i in range(len(sets)):
+        for j in range(i):
+            if 5 * min(len(sets[i]), len(sets[j])) >= 4 * max(len(sets[i]), len(sets[j])) and root[i] != root[j] and alike(sets[i], sets[j]):
+                a, b = root[i], root[j]
+                root = [min(a, b) if r in (a, b) else r for r in root]
+    return root
