@@ -154,7 +154,8 @@ def fly(level: int, last: bool, seed: int):
 
 def _blocks(rows: DataFrame, counts: dict[str, int], lookup: DataFrame, level: int, last: bool, seed: int) -> DataFrame:
     """One level of flights over ``rows`` joined with the block count of their source."""
-    blocks = F.pmod(F.xxhash64("doc_id", "size", F.lit(seed + level)), F.col("n_blocks"))
+    # rows without an id have nothing but their number to part them
+    blocks = F.pmod(F.xxhash64("doc_id", "size", F.when(F.col("doc_id").isNull(), F.col("row_id")), F.lit(seed + level)), F.col("n_blocks"))
     keyed = rows.join(lookup, "src").withColumn("block", blocks).select(*COLUMNS.names, "block")
     ordered = keyed.repartition("src", "block").sortWithinPartitions("src", "block", F.xxhash64("doc_id", F.lit(seed)), "doc_id", "size", "row_id")
     return ordered.mapInArrow(fly(level, last, seed), DDL)

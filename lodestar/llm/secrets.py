@@ -7,8 +7,8 @@ counts of its characters are kept up to date, so each step costs two updates wha
 the window's length.  Its Shannon entropy is held against the threshold of the
 candidate's character class (digits, hex, letters and digits, base64-like); windows at or
 over it merge into one span.  A span inside a rule's span isn't repeated, and the
-allow list (UUIDs, URLs and paths, dotted names, versions and dates, runs with no digit,
-documentation placeholders) suppresses entropy spans only, never rule matches.
+allow list (UUIDs, URLs and paths, dotted names, versions and dates, words; windows that
+meet a documentation placeholder) suppresses entropy spans only, never rule matches.
 
 Candidates are found over a whole Arrow batch at once by a byte-class table, so ordinary
 prose costs a few nanoseconds a byte; only documents that hold a credential keyword see
@@ -44,7 +44,7 @@ WINDOW = 24
 #: Bits a character in a window of 24 from which a class counts as random (log2 of 24 is 4.58).
 THRESHOLD = {"entropy_digits": 3.1, "entropy_hex": 3.3, "entropy_alnum": 4.0, "entropy_base64": 4.1}
 UUID = re.compile(r"[0-9a-fA-F]{8}-(?:[0-9a-fA-F]{4}-){3}[0-9a-fA-F]{12}")
-PLAIN = re.compile(r"(?![0-9]+\Z)[0-9./:+_=-]*|[^0-9]*")  # dates, versions, numbers with separators (not bare digits); words and rules without a digit
+PLAIN = re.compile(r"(?![0-9]+\Z)[0-9./:+_=-]*")  # dates, versions, numbers with separators (not bare digits), rules
 SEPARATORS, DIGITS, TURNS = re.compile(r"[./_=-]+"), re.compile(r"[0-9]+"), re.compile(r"[a-z](?=[A-Z])")
 PLACEHOLDER = re.compile(r"example|sample|dummy|placeholder|xxxx|changeme|redacted|lorem", re.IGNORECASE)
 TABLE = np.zeros(256, np.uint8)
@@ -67,19 +67,23 @@ def wordy(part: str) -> bool:
 
 
 def allowed(run: str) -> bool:
-    """Is this candidate on the allow list: a UUID, numbers, words, a placeholder, or a path or dotted name of wordy parts?"""
-    if UUID.fullmatch(run) or PLAIN.fullmatch(run) or PLACEHOLDER.search(run):
+    """Is this candidate on the allow list: a UUID, numbers, a word, or a path or dotted name of wordy parts?"""
+    if UUID.fullmatch(run) or PLAIN.fullmatch(run):
         return True
     parts = [p for p in SEPARATORS.split(run) if p]
-    return len(parts) > 1 and all(map(wordy, parts))
+    return (len(parts) > 1 or not DIGITS.search(run)) and all(map(wordy, parts))
 
 
 def entropy_spans(run: str, window: int = WINDOW, threshold: dict[str, float] = THRESHOLD) -> list[tuple[str, int, int]]:
-    """(kind, start, end) of the merged windows whose entropy reaches the threshold of their own class."""
+    """(kind, start, end) of the merged windows whose entropy reaches the threshold of their own class.
+
+    Windows that meet a placeholder don't count.
+    """
     if len(run) < window or allowed(run):
         return []
     spans, counts, s = [], {}, 0.0  # s: sum of n log n
     least = min(threshold.values())
+    fake = [(m.start(), m.end()) for m in PLACEHOLDER.finditer(run)]
     for i, c in enumerate(run):
         n = counts.get(c, 0)
         counts[c] = n + 1
@@ -89,9 +93,11 @@ def entropy_spans(run: str, window: int = WINDOW, threshold: dict[str, float] =
             n = counts[old]
             counts[old] = n - 1
             s += XLOGX[n - 1] - XLOGX[n]
+        a = i - window + 1
+        while fake and fake[0][1] <= a:  # behind the window
+            fake.pop(0)
         bits = math.log2(window) - s / window + 1e-9
-        if i >= window - 1 and bits >= least and bits >= threshold[char_class(run[i - window + 1 : i + 1])]:
-            a = i - window + 1
+        if a >= 0 and bits >= least and not (fake and fake[0][0] <= i) and bits >= threshold[char_class(run[a : i + 1])]:
             if spans and a <= spans[-1][1]:
                 spans[-1] = (spans[-1][0], i + 1)
             else:

@@ -8,9 +8,11 @@ of a group) get a weight of their own where additive weights would miss them.
 
 Training: at most ``SAMPLE`` labelled rows, the first by a hash of doc_id, among rows
 whose crc32(doc_id as text) mod 3 isn't 1.  Equal texts count once.  Terms of those rows
-are screened first (in at least ``LEAST`` of them, and ``Z`` deviations more frequent in
-toxic ones than chance), so a few hundred rows aren't learnt by heart; the machine is
-then fitted by AdaGrad in a fixed order.  Only doc_id (for the split), text and
+are screened first (in at least ``LEAST`` of them, and ``Z`` deviations more or less
+frequent in toxic ones than chance), so a few hundred rows aren't learnt by heart.  Pairs
+among the ``PAIRED`` most frequent other terms are screened too (``PAIR_Z`` deviations),
+so terms that tell something together only stay.  The machine is then fitted by AdaGrad
+in a fixed order.  Only doc_id (for the split), text and
 labels.toxic are read.  The driver sees the sample's slots and nothing else; the fitted
 model holds some thousand terms and goes to the tasks in their closure.
 
@@ -38,7 +40,7 @@ from pyspark.sql import functions as F
 
 from .common import ship, text_or_empty, utf8
 
-SPACE, RANK, SAMPLE, LEAST, Z = 1 << 18, 8, 12_000, 3, 3.0
+SPACE, RANK, SAMPLE, LEAST, Z, PAIRED, PAIR_Z = 1 << 18, 8, 12_000, 3, 3.0, 1024, 6.0
 EPOCHS, RATE, DECAY, SEED = 30, 0.2, 1e-3, 7
 THRESHOLD = 0.7
 TERM = re.compile(r"[^\W_]+")
@@ -72,24 +74,46 @@ class Model:
         return 1.0 / (1.0 + math.exp(-max(-30.0, min(30.0, self.logit(rows)))))
 
 
-def fit(rows: list[np.ndarray], toxic: list[int]) -> Model:
-    """A model from the slots and labels of some rows, in the order given."""
+def deviations(toxic: np.ndarray, n: np.ndarray, share: float) -> np.ndarray:
+    """How many deviations ``toxic`` of ``n`` rows lie over chance."""
+    return (toxic - n * share) / np.sqrt(np.maximum(n * share * (1 - share), 1e-9))
+
+
+def screen(rows: list[np.ndarray], y: np.ndarray) -> np.ndarray:
+    """Slots that tell something of the label, alone or together with another."""
+    share, df = float(y.mean()), np.zeros((2, SPACE))
+    for r, t in zip(rows, y.astype(int).tolist()):
+        df[t, r] += 1
+    n = df.sum(axis=0)
+    alone = (n >= LEAST) & (np.abs(deviations(df[1], n, share)) >= Z)
+    rest = np.flatnonzero((n >= LEAST) & ~alone)
+    rest = np.sort(rest[np.argsort(-n[rest], kind="stable")[:PAIRED]])
+    place = np.full(SPACE, -1)
+    place[rest] = np.arange(len(rest))
+    x = np.zeros((len(rows), len(rest)), np.float32)
+    for k, r in enumerate(rows):
+        p = place[r]
+        x[k, p[p >= 0]] = 1
+    both, bad = x.T @ x, x[y > 0.5].T @ x[y > 0.5]  # whole numbers below 2**24: exact
+    told = (both >= 2 * LEAST) & (np.abs(deviations(bad, both, share)) >= PAIR_Z)
+    np.fill_diagonal(told, False)
+    alone[rest[told.any(axis=1)]] = True
+    return np.flatnonzero(alone)
+
+
+def fit(rows: list[np.ndarray], toxic: list[int], rank: int = RANK) -> Model:
+    """A model from the slots and labels of some rows, in the order given; ``rank`` 0 is a linear model."""
     y, n1 = np.array(toxic, float), sum(toxic)
-    flat = Model(math.log((n1 + 1) / (len(toxic) - n1 + 1)), {}, np.zeros(0), np.zeros((0, RANK)))
+    flat = Model(math.log((n1 + 1) / (len(toxic) - n1 + 1)), {}, np.zeros(0), np.zeros((0, rank)))
     if not 0 < n1 < len(toxic):
         return flat
-    share, df = n1 / len(toxic), np.zeros((2, SPACE))
-    for r, t in zip(rows, toxic):
-        df[t, r] += 1
-    expected = df.sum(axis=0) * share
-    z = (df[1] - expected) / np.sqrt(np.maximum(expected * (1 - share), 1e-9))
-    chosen = np.flatnonzero((df.sum(axis=0) >= LEAST) & (z >= Z))
+    chosen = screen(rows, y)
     places = np.full(SPACE, -1)
     places[chosen] = np.arange(len(chosen))
     data = [p[p >= 0] for p in (places[r] for r in rows)]
     rng = np.random.default_rng(SEED)
-    w, v, b = np.zeros(len(chosen)), rng.normal(0, 0.02, (len(chosen), RANK)), flat.bias
-    gw, gv, gb = np.full(len(chosen), 1e-2), np.full((len(chosen), RANK), 1e-2), 1e-2
+    w, v, b = np.zeros(len(chosen)), rng.normal(0, 0.02, (len(chosen), rank)), flat.bias
+    gw, gv, gb = np.full(len(chosen), 1e-2), np.full((len(chosen), rank), 1e-2), 1e-2
     for _ in range(EPOCHS):
         for j in rng.permutation(len(data)):
             i = data[j]

@@ -33,6 +33,32 @@ def test_pairs_are_learnt():
     assert (m.v[m.places[a]] @ m.v[m.places[b]]) > 0
 
 
+def test_logit_is_the_sum_over_pairs():
+    rng = np.random.default_rng(4)
+    m = T.Model(0.3, {k: k for k in range(30)}, rng.normal(size=30), rng.normal(size=(30, T.RANK)))
+    for n in (0, 1, 2, 7, 30):
+        rows = sorted(rng.choice(30, n, replace=False).tolist())
+        want = m.bias + sum(m.w[i] for i in rows) + sum(float(m.v[i] @ m.v[j]) for k, i in enumerate(rows) for j in rows[:k])
+        assert abs(m.logit(rows) - want) < 1e-9
+
+
+def accuracy(m, rows, y):
+    return np.mean([(m.score([m.places[s] for s in r.tolist() if s in m.places]) >= 0.5) == bool(t) for r, t in zip(rows, y)])
+
+
+def test_terms_that_tell_only_together_stay_and_beat_a_linear_model():
+    """Toxic if exactly one of two terms is there: alone neither tells anything."""
+    rng = np.random.default_rng(1)
+    rows, y = [], []
+    for i in range(1200):
+        ia, ib = i % 2, i // 2 % 2
+        rows.append(np.array(sorted({*([11] if ia else []), *([22] if ib else []), *rng.integers(100, 160, 3).tolist()})))
+        y.append(ia ^ ib)
+    pairs, linear = T.fit(rows[:900], y[:900]), T.fit(rows[:900], y[:900], rank=0)
+    assert {11, 22} <= set(pairs.places)
+    assert accuracy(pairs, rows[900:], y[900:]) > 0.95 > 0.8 > accuracy(linear, rows[900:], y[900:])
+
+
 def test_odd_empty_and_unlabelled(spark, odd, empty):
     labels = spark.createDataFrame([(1, 1), (3, 0), (4, None), (None, 1), (3, 1)], "doc_id long, toxic int")
     got = T.score(odd, labels).collect()
