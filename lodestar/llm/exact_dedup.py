@@ -82,4 +82,5 @@ def drop_exact_copies(docs: DataFrame, counters: int = COUNTERS) -> DataFrame:
     ship(docs.sparkSession)
     placed, row = numbered(docs)
     lost = settle(materialize(digests(placed, row), "digests"), counters).where("not kept").select(F.col("row_id").alias(row))
+    lost = materialize(lost, "lost")  # written, so that Spark knows its size: broadcast only if it is small
     return placed.join(lost, row, "left_anti").drop(row)
