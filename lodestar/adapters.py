@@ -17,22 +17,27 @@ def path_of(key: str) -> str:
     return f"'src/m' || CAST({key} % 25 AS STRING) || '/f' || CAST({key} AS STRING) || '.ts'"
 
 
-def _edges(share: str) -> str:
-    return f"""SELECT cn.n_name AS source_module, sn.n_name AS target_module, count(*) AS n_lines
-        FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey
-        JOIN supplier ON l_suppkey = s_suppkey JOIN nation cn ON c_nationkey = cn.n_nationkey JOIN nation sn ON s_nationkey = sn.n_nationkey
-        GROUP BY cn.n_name, sn.n_name HAVING count(*) >= {share} * (SELECT count(*) FROM lineitem)"""
+def _edges(most: int) -> str:
+    """The ``most`` strongest pairs of a customer's and a supplier's nation: as many edges whatever the tables' size."""
+    return f"""SELECT source_module, target_module, n_lines FROM (
+        SELECT *, row_number() OVER (ORDER BY n_lines DESC, source_module, target_module) AS strength FROM (
+            SELECT cn.n_name AS source_module, sn.n_name AS target_module, count(*) AS n_lines
+            FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey
+            JOIN supplier ON l_suppkey = s_suppkey JOIN nation cn ON c_nationkey = cn.n_nationkey JOIN nation sn ON s_nationkey = sn.n_nationkey
+            GROUP BY cn.n_name, sn.n_name) g) r WHERE strength <= {most}"""
 
 
 ROLES = {
-    # one row a pair of modules, about 90 edges at sf0.01
+    # one row a pair of modules, 100 edges
     "dependencies": f"""SELECT source_module, target_module, 'pkg/' || lower(target_module) AS specifier,
         CASE WHEN n_lines % 5 = 0 THEN 'type_import' ELSE 'import' END AS dependency_kind, n_lines % 11 = 0 AS is_external, CAST(n_lines % 100 AS INT) AS evidence_line
-        FROM ({_edges('0.0025')}) e""",
-    "sparse_dependencies": f"SELECT source_module, target_module, 'import' AS dependency_kind, false AS is_external FROM ({_edges('0.003')}) e",
-    "cyclic_dependencies": """SELECT event_type AS source_module, next_type AS target_module, 'import' AS dependency_kind, false AS is_external FROM (
-        SELECT event_type, lead(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS next_type FROM events) t
-        WHERE next_type IS NOT NULL AND next_type <> event_type GROUP BY event_type, next_type HAVING count(*) >= 0.04 * (SELECT count(*) FROM events)""",
+        FROM ({_edges(100)}) e""",
+    "sparse_dependencies": f"SELECT source_module, target_module, 'import' AS dependency_kind, false AS is_external FROM ({_edges(50)}) e",
+    # each kind of event with the two that most often come next
+    "cyclic_dependencies": """SELECT source_module, target_module, 'import' AS dependency_kind, false AS is_external FROM (
+        SELECT source_module, target_module, row_number() OVER (PARTITION BY source_module ORDER BY count(*) DESC, target_module) AS strength FROM (
+            SELECT event_type AS source_module, lead(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS target_module FROM events) t
+        WHERE target_module IS NOT NULL AND target_module <> source_module GROUP BY source_module, target_module) r WHERE strength <= 2""",
     "modules": "SELECT n_name AS name FROM nation",
     "commits": "SELECT o_orderkey AS id, 'c' || CAST(o_orderkey AS STRING) AS sha, 'a' || CAST(o_custkey % 37 AS STRING) AS author_email, CAST(o_orderdate AS TIMESTAMP) AS committed_at, o_orderstatus = 'F' AS is_fix FROM orders",
     "file_changes": f"SELECT l_orderkey AS commit_id, {path_of('l_partkey')} AS file_path, CASE WHEN l_linenumber = 7 AND l_partkey % 10 <> 0 THEN {path_of('(l_partkey - 1)')} END AS previous_path FROM lineitem",
@@ -41,9 +46,9 @@ ROLES = {
     "files": f"SELECT {path_of('p_partkey')} AS path, 'm' || CAST(p_partkey % 25 AS STRING) AS module_name, CAST(p_size * 400 AS BIGINT) AS size_bytes, CASE WHEN p_partkey % 3 = 0 THEN 'python' ELSE 'typescript' END AS language FROM part",
     "complexity": f"SELECT {path_of('p_partkey')} AS file_path, p_name AS qualified_name, p_size AS line, p_size % 15 AS cyclomatic, p_size % 31 AS cognitive, p_size * 4 AS line_count, CAST(p_partkey % 12 AS INT) AS param_count FROM part",
     "symbols": f"SELECT p_partkey AS id, {path_of('p_partkey')} AS file_path, 'm' || CAST(p_partkey % 25 AS STRING) AS module_id, CASE WHEN p_size % 5 = 0 THEN 'class' WHEN p_size % 5 = 1 THEN 'interface' WHEN p_size % 5 = 2 THEN 'method' ELSE 'function' END AS kind, CASE WHEN p_size % 5 = 2 THEN p_brand || '.' || CAST(p_partkey AS STRING) ELSE p_brand END AS qualified_name, p_size AS start_line, p_size + p_partkey % 60 AS end_line FROM part",
-    "calls": "SELECT l_orderkey * 8 + l_linenumber AS id, l_partkey % 150 + 1 AS caller_symbol_id, CASE WHEN l_linenumber <= 4 THEN l_partkey % 7 * 25 + 3 ELSE l_suppkey END AS callee_symbol_id FROM lineitem WHERE l_quantity > 30",
-    "coverage": f"SELECT {path_of('p_partkey')} AS file_path, p_size AS lines_found, CAST(p_size - p_partkey % (p_size + 1) AS INT) AS lines_hit FROM part WHERE p_partkey % 4 <> 0",
-    "findings": f"SELECT CAST(l_orderkey AS STRING) || '-' || CAST(l_linenumber AS STRING) AS id, CASE l_returnflag WHEN 'R' THEN 'security/secret' WHEN 'A' THEN 'complexity' ELSE 'unused-export' END AS rule_name, CASE WHEN l_quantity > 45 THEN 'critical' WHEN l_quantity > 30 THEN 'high' WHEN l_quantity > 15 THEN 'medium' ELSE 'low' END AS severity, 'f' || CAST(l_partkey AS STRING) AS title, {path_of('l_partkey')} AS file_path, l_linenumber AS line FROM lineitem WHERE l_discount >= 0.08",
+    "calls": "SELECT l_orderkey * 8 + l_linenumber AS id, l_partkey % 150 + 1 AS caller_symbol_id, CASE WHEN l_linenumber <= 4 THEN l_partkey % 7 * 25 + 3 ELSE l_suppkey END AS callee_symbol_id FROM lineitem",
+    "coverage": f"SELECT {path_of('p_partkey')} AS file_path, p_size AS lines_found, CAST(p_size - p_partkey % (p_size + 1) AS INT) AS lines_hit FROM part",
+    "findings": f"SELECT CAST(l_orderkey AS STRING) || '-' || CAST(l_linenumber AS STRING) AS id, CASE l_returnflag WHEN 'R' THEN 'security/secret' WHEN 'A' THEN 'complexity' ELSE 'unused-export' END AS rule_name, CASE WHEN l_quantity > 45 THEN 'critical' WHEN l_quantity > 30 THEN 'high' WHEN l_quantity > 15 THEN 'medium' ELSE 'low' END AS severity, 'f' || CAST(l_partkey AS STRING) AS title, {path_of('l_partkey')} AS file_path, l_linenumber AS line FROM lineitem",
     "role_dependencies": "SELECT 'src/' || CASE l_linenumber % 4 WHEN 1 THEN 'controller' WHEN 0 THEN 'service' WHEN 2 THEN 'repository' ELSE 'util' END || CAST(l_partkey AS STRING) AS source, 'src/' || CASE WHEN l_quantity > 44 THEN 'controller' WHEN l_quantity > 20 THEN 'service' ELSE 'model' END || CAST(l_suppkey AS STRING) AS target FROM lineitem",
     "snapshot_old": "SELECT o_orderpriority AS source_module, c_mktsegment AS target_module, o_orderstatus || CAST(o_orderkey % 60 AS STRING) AS specifier FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderkey % 97 < 6",
     "snapshot_new": "SELECT o_orderpriority AS source_module, c_mktsegment AS target_module, o_orderstatus || CAST(o_orderkey % 60 AS STRING) AS specifier FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderkey % 97 BETWEEN 3 AND 9",

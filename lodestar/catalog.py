@@ -492,10 +492,13 @@ def html_links(pages):
     return pages.select("page_id", F.explode(F.regexp_extract_all("html", F.lit(r'href="([^"]*)"'), 1)).alias("link"))
 
 
-@query("messages", ", l AS (SELECT conv_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS n FROM messages WHERE turn = 0), m AS (SELECT conv_id, n AS line_number, line[1:160] AS line, row_number() OVER (PARTITION BY conv_id ORDER BY n) AS r FROM l WHERE regexp_matches(line, '(?i)the [a-z]+')) SELECT conv_id, line_number, line FROM m WHERE r <= 5 ORDER BY conv_id, line_number LIMIT 50")
+@query("messages", """, l AS (SELECT CAST(conv_id AS VARCHAR) || ':' || CAST(turn AS VARCHAR) AS place, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS n FROM messages),
+  m AS (SELECT place, n AS line_number, line[1:160] AS line, row_number() OVER (PARTITION BY place ORDER BY n) AS r FROM l WHERE regexp_matches(line, '(?i)the [a-z]+'))
+  SELECT place, line_number, line FROM m WHERE r <= 5 ORDER BY place, line_number LIMIT 50""")
 def text_search(messages):
-    """X27, T4."""
-    return T.grep(messages.where("turn = 0"), "the [a-z]+", key="conv_id").select("conv_id", F.col("line_number").cast("long").alias("line_number"), "line")
+    """Every turn of a conversation is a file."""
+    placed = messages.select(F.concat_ws(":", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("place"), "text")
+    return T.grep(placed, "the [a-z]+", key="place").select("place", F.col("line_number").cast("long").alias("line_number"), "line")
 
 
 @query("files", " SELECT path, 'file:' || left(sha256(path || chr(0) || module_name || chr(0)), 24) AS id FROM files")
@@ -529,13 +532,13 @@ def large_classes(symbols):
     return R.large_classes(flat.where("kind = 'method'").select("file_path", "kind", "qualified_name", "start_line", "end_line").unionByName(types, allowMissingColumns=True), 10, 14).select("owner", "methods", "lines", "severity")
 
 
-@query("user_events", """, f AS (SELECT user_id AS function, list_sort(list(DISTINCT event_type || CAST(event_id % 4 AS STRING))) AS names FROM user_events WHERE event_id % 6 = 0 GROUP BY 1), n AS (SELECT function, list_slice(names, 1, 12) AS names FROM f),
+@query("user_events", """, f AS (SELECT user_id AS function, list_sort(list(DISTINCT event_type || CAST(event_id % 4 AS STRING))) AS names FROM user_events GROUP BY 1), n AS (SELECT function, list_slice(names, 1, 12) AS names FROM f),
   e AS (SELECT function, unnest(names) AS a FROM n), t AS (SELECT x.function, [x.a, y.a, z.a] AS triple FROM e x JOIN e y ON x.function = y.function AND x.a < y.a JOIN e z ON z.function = y.function AND y.a < z.a),
   s AS (SELECT triple, list_sort(list(DISTINCT function)) AS functions FROM t GROUP BY 1 HAVING count(DISTINCT function) >= 3), g AS (SELECT functions, list_sort(list_distinct(flatten(list(triple)))) AS names FROM s GROUP BY 1)
   SELECT functions, names, CASE WHEN len(names) >= 4 AND len(functions) >= 4 THEN 'medium' ELSE 'low' END AS severity FROM g""")
 def data_clumps(events):
     """Users stand for functions, event kinds for parameter names."""
-    names = events.where("event_id % 6 = 0").groupBy(F.col("user_id").alias("function")).agg(F.collect_set(F.concat("event_type", (F.col("event_id") % 4).cast("string"))).alias("names"))
+    names = events.groupBy(F.col("user_id").alias("function")).agg(F.collect_set(F.concat("event_type", (F.col("event_id") % 4).cast("string"))).alias("names"))
     return R.data_clumps(names)
 
 
