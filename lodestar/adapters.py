@@ -39,6 +39,14 @@ ROLES = {
             SELECT event_type AS source_module, lead(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS target_module FROM events) t
         WHERE target_module IS NOT NULL AND target_module <> source_module GROUP BY source_module, target_module) r WHERE strength <= 2""",
     "modules": "SELECT n_name AS name FROM nation",
+    # modules of files, and which of them part and supplier of a line belong to
+    "file_modules": "SELECT DISTINCT 'm' || CAST(p_partkey % 25 AS STRING) AS name FROM part",
+    "module_links": """SELECT source_module, target_module, 'import' AS dependency_kind, false AS is_external FROM (
+        SELECT source_module, target_module, row_number() OVER (ORDER BY count(*) DESC, source_module, target_module) AS strength FROM (
+            SELECT 'm' || CAST(l_partkey % 25 AS STRING) AS source_module, 'm' || CAST(l_suppkey % 25 AS STRING) AS target_module FROM lineitem) t
+        GROUP BY source_module, target_module) r WHERE strength <= 120""",
+    "line_pairs": f"SELECT DISTINCT {path_of('l_partkey')} AS left_path, {path_of('(l_suppkey * 7 + 1)')} AS right_path FROM lineitem",
+    "brand_sizes": "SELECT p_brand AS name, count(*) AS files FROM part GROUP BY p_brand",
     "commits": "SELECT o_orderkey AS id, 'c' || CAST(o_orderkey AS STRING) AS sha, 'a' || CAST(o_custkey % 37 AS STRING) AS author_email, CAST(o_orderdate AS TIMESTAMP) AS committed_at, o_orderstatus = 'F' AS is_fix FROM orders",
     "file_changes": f"SELECT l_orderkey AS commit_id, {path_of('l_partkey')} AS file_path, CASE WHEN l_linenumber = 7 AND l_partkey % 10 <> 0 THEN {path_of('(l_partkey - 1)')} END AS previous_path FROM lineitem",
     "brand_changes": "SELECT l_orderkey AS commit_id, p_brand AS file_path FROM lineitem JOIN part ON l_partkey = p_partkey",

@@ -636,3 +636,117 @@ def unused_dependencies(old, new):
 def scoped_findings(findings):
     """F10."""
     return R.touching(findings, "F1").select("id", "severity")
+
+
+# ---- components of files: metrics and their detectors
+
+LINKS = ", modules AS (SELECT name FROM file_modules), dependencies AS (SELECT * FROM module_links)" + FANS
+METRICS = LINKS + CHURN + """, sizes AS (SELECT module_name AS name, count(*) AS files FROM files GROUP BY 1),
+kinds AS (SELECT f.module_name AS name, count(*) FILTER (s.kind = 'interface') AS abstract_types, count(*) AS types FROM symbols s JOIN files f ON f.path = s.file_path WHERE s.kind IN ('class', 'interface') GROUP BY 1),
+totals AS (SELECT module_name AS name, CAST(sum(cognitive) AS BIGINT) AS cognitive FROM complexity JOIN files ON path = file_path GROUP BY 1),
+changed AS (SELECT module_name AS name, count(DISTINCT commit_id) AS churn FROM file_churn GROUP BY 1),
+metrics AS (SELECT name, fan_in, fan_out, instability, coalesce(files, 0) AS files, coalesce(abstract_types, 0) AS abstract_types, coalesce(types, 0) AS types, coalesce(cognitive, 0) AS cognitive, coalesce(churn, 0) AS churn, coalesce(abstract_types / types, 0) AS abstractness
+  FROM fans LEFT JOIN sizes USING (name) LEFT JOIN kinds USING (name) LEFT JOIN totals USING (name) LEFT JOIN changed USING (name))"""
+
+
+def _metrics(modules, links, files, symbols, complexity, changes) -> DataFrame:
+    churn = H.churn(files, changes, "module_name").select(F.col("module_name").alias("name"), F.col("commits").alias("churn"))
+    return C.component_metrics(C.fans(modules, C.local_edges(links)), files, C.abstractness(symbols), C.cognitive_totals(complexity, files).withColumnRenamed("module_name", "name"), churn)
+
+
+@query("file_modules module_links files symbols complexity file_changes", METRICS + """ SELECT name, fan_in, fan_out, round(CAST(instability AS DOUBLE), 6) AS instability, files, abstract_types, types, cognitive, churn,
+  round(CAST(abstractness AS DOUBLE), 6) AS abstractness, round(abs(abstractness + instability - 1), 6) AS distance FROM metrics""")
+def component_metrics(modules, links, files, symbols, complexity, changes):
+    """A17."""
+    return _metrics(modules, links, files, symbols, complexity, changes)
+
+
+def _over(table: str, col: str, floor: int) -> str:
+    return _rank(col, floor).replace("FROM fans", f"FROM {table}")
+
+
+@query("file_modules module_links files symbols complexity file_changes", METRICS + f" SELECT name, fan_in, churn FROM metrics WHERE fan_in >= {_over('metrics', 'fan_in', 3)} AND churn >= {_over('metrics', 'churn', 3)}")
+def unstable_interfaces(modules, links, files, symbols, complexity, changes):
+    """R32."""
+    return R.unstable_interfaces(_metrics(modules, links, files, symbols, complexity, changes))
+
+
+@query("brand_sizes", f", b AS (SELECT {_over('brand_sizes', 'files', 8)} AS bar) SELECT name, files, CASE WHEN files / bar >= 2 THEN 'high' ELSE 'medium' END AS severity, round(greatest(0.5, least(0.95, 0.5 + (files / bar - 1) / 4)), 6) AS confidence FROM brand_sizes, b WHERE files > bar")
+def god_components(sizes):
+    """Brands stand for components."""
+    return R.god_components(sizes)
+
+
+@query("modules dependencies", EDGES + ", d AS (SELECT (SELECT count(*) FROM modules) AS modules, (SELECT count(*) FROM edges) AS edges) SELECT modules, edges, round(edges / (modules * (modules - 1)), 6) AS density, CASE WHEN edges / (modules * (modules - 1)) >= 0.35 THEN 'high' ELSE 'medium' END AS severity FROM d WHERE modules >= 10 AND edges / (modules * (modules - 1)) >= 0.15")
+def dense_structure(modules, deps):
+    """R28."""
+    return R.dense_structure(C.density(modules, C.local_edges(deps))).select("modules", "edges", "density", "severity")
+
+
+@query("files complexity", " SELECT module_name AS component, CAST(sum(cognitive) AS BIGINT) AS cognitive, CAST(count(*) * 13 AS BIGINT) AS budget FROM complexity JOIN files ON path = file_path GROUP BY 1 HAVING sum(cognitive) > count(*) * 13")
+def budget_findings(files, complexity):
+    """A budget of 13 a function."""
+    rows = complexity.join(files.select(F.col("path").alias("file_path"), F.col("module_name").alias("component")), "file_path")
+    return R.budget_findings(rows, rows.groupBy("component").agg((F.count(F.lit(1)) * 13).alias("budget")))
+
+
+@query("line_pairs files module_links", """, p AS (SELECT a.module_name AS ca, b.module_name AS cb FROM line_pairs JOIN files a ON a.path = left_path JOIN files b ON b.path = right_path WHERE a.module_name <> b.module_name),
+  n AS (SELECT least(ca, cb) AS a, greatest(ca, cb) AS b, count(*) AS pairs FROM p GROUP BY 1, 2 HAVING count(*) >= 2)
+  SELECT * FROM n WHERE NOT EXISTS (SELECT 1 FROM module_links WHERE least(source_module, target_module) = a AND greatest(source_module, target_module) = b)""")
+def behavioral_coupling(pairs, files, links):
+    """R23."""
+    return R.behavioral_coupling(pairs, files.select("path", F.col("module_name").alias("component")), C.local_edges(links))
+
+
+FORBIDDEN = [(f"r{step}", f"nation_{i}", f"NATION_{(i + step) % 25}") for step in (1, 2, 3) for i in range(25)]
+
+
+@query("dependencies", ", f(rule_name, a, b) AS (VALUES " + ", ".join(map(str, FORBIDDEN)) + ") SELECT rule_name, count(*) AS n FROM dependencies JOIN f ON lower(a) = lower(source_module) AND lower(b) = lower(target_module) GROUP BY 1")
+def boundary_violations(deps):
+    """Three families of forbidden pairs."""
+    return R.boundary_violations(deps, FORBIDDEN)
+
+
+@query("dependencies sparse_dependencies", " SELECT DISTINCT source_module AS source, target_module AS target FROM dependencies d WHERE source_module <> target_module AND NOT is_external AND NOT EXISTS (SELECT 1 FROM sparse_dependencies s WHERE s.source_module = d.source_module AND s.target_module = d.target_module)")
+def absent_edges(declared, deps):
+    """Declared edges that nothing uses."""
+    return R.absences(C.local_edges(declared).select("source", "target"), C.local_edges(deps))
+
+
+@query("files complexity module_links", " SELECT path AS file_path, 'c' || CAST(line % 25 AS VARCHAR) AS capability, module_name AS component FROM complexity JOIN files ON path = file_path JOIN module_links ON source_module = module_name AND target_module = 'm' || CAST(line % 25 AS VARCHAR)")
+def capability_findings(files, complexity, links):
+    """A module is denied the capabilities numbered like the modules it links to."""
+    uses = complexity.select("file_path", F.concat(F.lit("c"), (F.col("line") % 25).cast("string")).alias("capability"))
+    denied = links.select(F.col("source_module").alias("component"), F.concat(F.lit("c"), F.substring("target_module", 2, 9)).alias("capability"))
+    return R.capability_findings(uses, files.select("path", F.col("module_name").alias("component")), denied).select("file_path", "capability", "component")
+
+
+@query("module_links", """, e AS (SELECT target_module[length(target_module):] || '/' || source_module AS source, target_module[length(target_module):] || '/' || target_module AS target, CASE WHEN source_module < target_module THEN 'a/@x/b' ELSE 'a/b' END AS target_file_path FROM module_links)
+  SELECT source, target, target_file_path FROM e WHERE split_part(source, '/', 2) <> split_part(target, '/', 2) AND target_file_path NOT LIKE '%/@x/%'""")
+def slice_violations(links):
+    """Slices of one layer that meet elsewhere than through ``@x`` paths."""
+    layer = F.expr("substring(target_module, -1, 1)")
+    path = F.when(F.col("source_module") < F.col("target_module"), "a/@x/b").otherwise("a/b")
+    return R.slice_violations(links.select(F.concat_ws("/", layer, "source_module").alias("source"), F.concat_ws("/", layer, "target_module").alias("target"), path.alias("target_file_path")))
+
+
+@query("findings", " SELECT file_path, count(*) AS n, list_sort(list(DISTINCT rule_name)) AS detectors FROM findings GROUP BY 1")
+def grouped_diagnoses(findings):
+    """A33."""
+    return R.group_diagnoses(findings.withColumnRenamed("rule_name", "detector"), "file_path")
+
+
+@query("findings", """ SELECT severity, confidence, detector, target FROM (SELECT DISTINCT severity, line / 10 AS confidence, rule_name AS detector, title AS target FROM findings)
+  ORDER BY CASE severity WHEN 'critical' THEN 3 WHEN 'high' THEN 2 WHEN 'medium' THEN 1 ELSE 0 END DESC, confidence DESC, detector, target LIMIT 50""")
+def diagnosis_order(findings):
+    """The first page."""
+    rows = findings.select("severity", (F.col("line") / 10).alias("confidence"), F.col("rule_name").alias("detector"), F.col("title").alias("target")).distinct()
+    return R.diagnosis_order(rows).limit(50)
+
+
+@query("role_dependencies", """, r AS (SELECT CASE WHEN contains(source, 'controller') THEN 'controller' WHEN contains(source, 'service') THEN 'service' WHEN contains(source, 'repository') THEN 'repository' END AS role FROM role_dependencies),
+  c AS (SELECT role, count(*) AS matching FROM r GROUP BY 1), t AS (SELECT CAST(sum(matching) AS BIGINT) AS total FROM c), b AS (SELECT * FROM c WHERE role IS NOT NULL ORDER BY matching DESC, role LIMIT 1)
+  SELECT role, matching, total, round(matching / total, 6) AS confidence FROM b, t WHERE total >= 3 AND matching / total >= 0.2""")
+def database_convention(deps):
+    """J3, A25."""
+    return C.database_convention(deps.select(F.col("source").alias("path")), report=0.2)
