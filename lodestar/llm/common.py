@@ -8,18 +8,23 @@ survives the loss of any executor.
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
 from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SPACES = "\x20\x09-\x0D"
+#: Bytes of text that a Python worker takes up at once.
+SLICE = 8 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -105,6 +110,26 @@ def utf8(array: pa.Array) -> list[bytes]:
     return [b if b is not None else b"" for b in array.cast(pa.large_binary()).to_pylist()]
 
 
+def release() -> None:
+    """Give freed memory back to the system; Spark keeps its Python workers, and they what they have."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc's
+    if trim:
+        trim(0)
+
+
+def slices(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[pa.RecordBatch]:
+    """The rows of ``batches`` in order, in batches of at most ``SLICE`` bytes of ``column`` or one row."""
+    for b in batches:
+        ends = np.cumsum(pc.fill_null(pc.binary_length(b.column(column)), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+        at = 0
+        while at < b.num_rows:
+            end = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + SLICE, side="right")))
+            yield b.slice(at, end - at)
+            at = end
+        release()
+
+
 def batch(columns: dict, schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) for f in schema], schema=schema)
 

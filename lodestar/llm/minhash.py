@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, numbered, ship, splitmix, text_or_empty, utf8
+from .common import materialize, numbered, ship, slices, splitmix, text_or_empty, utf8
 from .components import components
 from .simhash import majority, near_duplicates, shingle_hashes
 
@@ -56,7 +56,7 @@ def _hashes(text: bytes) -> np.ndarray:
 
 
 def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
+    for b in slices(batches):
         hashes = [list(shingle_hashes(t, SHINGLE)) for t in utf8(b.column("text"))]
         fps = np.array([majority(h) for h in hashes], U).view(np.int64)
         sets = [np.unique(np.concatenate([np.zeros(0, U), *h])) for h in hashes]
@@ -65,7 +65,7 @@ def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
+    for b in slices(batches):
         yield pa.RecordBatch.from_arrays([b.column("node"), pa.array([_hashes(t).view(np.int64) for t in utf8(b.column("text"))], pa.list_(pa.int64()))], names=["node", "hashes"])
 
 

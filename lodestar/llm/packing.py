@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch, materialize, ship, text_or_empty
+from .common import batch, materialize, ship, slices, text_or_empty
 from .tokens import default_path, encoder
 
 CAPACITY, GROUP, OPEN_BINS, END_ID = 4096, 65_536, 4096, 1
@@ -41,7 +41,7 @@ def cut(path: str, capacity: int, end_id: int, keep_ids: bool):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, end = encoder(path), np.array([end_id], "<u4")
-        for b in batches:
+        for b in slices(batches):
             out = {f.name: [] for f in PIECES}
             for doc_id, ids in zip(b.column(0).to_pylist(), enc.encode_many(b.column(1))):
                 ids = np.concatenate([ids.astype("<u4"), end])

@@ -38,7 +38,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ship, text_or_empty, utf8
+from .common import ship, slices, text_or_empty, utf8
 
 SPACE, RANK, SAMPLE, LEAST, Z, PAIRED, PAIR_Z = 1 << 18, 8, 12_000, 3, 3.0, 1024, 6.0
 EPOCHS, RATE, DECAY, SEED = 30, 0.2, 1e-3, 7
@@ -154,8 +154,8 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     return fit([np.frombuffer(r["slots"], "<i4") for r in kept], [min(1, r["toxic"]) for r in kept])
 
 
-def scorer(model: Model):
-    """A mapInArrow function: the columns given, with a score of ``text`` in its place."""
+def scorer(model: Model, text: str = "text", keep: bool = False):
+    """A mapInArrow function: the columns given, with a score of ``text`` in its place, or last to ``keep`` it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: dict[str, int] = {}
@@ -168,15 +168,17 @@ def scorer(model: Model):
                     rows[term] = r
             return r
 
-        for b in batches:
+        for b in slices(batches, text):
             scores = []
-            for text in utf8(b.column("text")):
-                found = {row(t) for t in set(TERM.findall(text.decode().lower()))}
+            for doc in utf8(b.column(text)):
+                found = {row(t) for t in set(TERM.findall(doc.decode().lower()))}
                 found.discard(-1)
                 scores.append(model.score(sorted(found)))
-            at = b.schema.get_field_index("text")
-            columns = [pa.array(scores, pa.float64()) if i == at else b.column(i) for i in range(b.num_columns)]
-            yield pa.RecordBatch.from_arrays(columns, names=["score" if n == "text" else n for n in b.schema.names])
+            columns = dict(zip(b.schema.names, b.columns))
+            if not keep:
+                columns = {"score" if n == text else n: c for n, c in columns.items()}
+            columns["score"] = pa.array(scores, pa.float64())
+            yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
 
     return run
 
@@ -192,7 +194,8 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, thresho
     """``docs`` without rows that score ``threshold`` or more; every column stays."""
     model = train(docs, labels, sample)
     names = [f"c{i}" for i in range(len(docs.columns))]
-    flat = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(docs.columns, names)], text_or_empty().alias("text"))
+    text = names[docs.columns.index("text") if "text" in docs.columns else [c.lower() for c in docs.columns].index("text")]
+    flat = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(docs.columns, names)])
     ddl = ", ".join(f"{n} {t}" for n, (_, t) in zip(names, docs.dtypes)) + ", score double"
-    kept = flat.mapInArrow(scorer(model), ddl).where(F.col("score") < threshold)
+    kept = flat.mapInArrow(scorer(model, text, keep=True), ddl).where(F.col("score") < threshold)
     return kept.select(*[F.col(n).alias(c) for c, n in zip(docs.columns, names)])
