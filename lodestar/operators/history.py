@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import settle
+from ..session import settle, tasks_for
 
 RENAME_DEPTH, HALF_LIFE_DAYS = 20, 180.0
 MIN_FILES, MAX_FILES, WITNESSES = 2, 30, 5
@@ -147,9 +147,16 @@ def confident(pairs: DataFrame, least: float) -> DataFrame:
 
 
 def commit_shape(changes: DataFrame, files: DataFrame) -> DataFrame:
-    """Per commit: files, modules, and spread: entropy of its files over modules by ln(modules)."""
-    rows = changes.select("commit_id", F.col("file_path").alias("path")).distinct().join(files.select("path", "module_name"), "path")
-    per = rows.groupBy("commit_id", "module_name").agg(F.count(F.lit(1)).alias("n"))
+    """Per commit: files, modules, and spread: entropy of its files over modules by ln(modules).
+
+    Rows are dealt out by their count, by commit and path and then by commit, so that the sums
+    a task holds don't grow with the history.  A commit of many files is one task's only after
+    its paths are distinct and gone, and then takes a sum a module.
+    """
+    n = tasks_for(changes)
+    rows = changes.select("commit_id", F.col("file_path").alias("path")).join(files.select("path", "module_name"), "path")
+    rows = rows.repartition(n, "commit_id", "path").distinct()
+    per = rows.repartition(n, "commit_id").groupBy("commit_id", "module_name").agg(F.count(F.lit(1)).alias("n"))
     p = F.col("n") / F.sum("n").over(Window.partitionBy("commit_id"))
     return per.withColumn("p", p).groupBy("commit_id").agg(
         F.sum("n").alias("files"), F.count(F.lit(1)).alias("modules"),

@@ -7,6 +7,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+ROWS_A_TASK = 2**18
+
 
 def build(app: str = "lodestar", **conf: str) -> SparkSession:
     """A session with the settings the operators assume (UTC, adaptive execution)."""
@@ -35,3 +37,14 @@ def settle(df: DataFrame) -> DataFrame:
     hadoop.getFileSystem(sc._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def tasks_for(df: DataFrame) -> int:
+    """Partitions that leave a task ``ROWS_A_TASK`` rows of ``df``, or one a core where that is more.  Counts ``df``.
+
+    Adaptive execution merges shuffled partitions into one a core up to 64 MB, in which a
+    task's hash tables are many times that; a number given to ``repartition`` stays.
+    """
+    spark = df.sparkSession
+    cores = min(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return max(cores, -(-df.count() // ROWS_A_TASK))
