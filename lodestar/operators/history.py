@@ -146,17 +146,26 @@ def confident(pairs: DataFrame, least: float) -> DataFrame:
     return pairs.where(F.greatest("confidence_left", "confidence_right") >= least)
 
 
-def commit_shape(changes: DataFrame, files: DataFrame) -> DataFrame:
-    """Per commit: files, modules, and spread: entropy of its files over modules by ln(modules).
+def _files_by_commit(rows: DataFrame, n: int) -> DataFrame:
+    """Distinct ``rows`` (commit_id, path and more), a commit's in one of ``n`` partitions.
 
-    Rows are dealt out by their count, by commit and path and then by commit, so that the sums
-    a task holds don't grow with the history.  A commit of many files is one task's only after
-    its paths are distinct and gone, and then takes a sum a module.
+    They are dealt out by commit and path, then by commit, so that with ``n`` by their count
+    the sums a task holds don't grow with the history.  A commit of many files is one task's
+    only when its rows are distinct, and then takes no more than a sum a group.
     """
-    n = tasks_for(changes)
+    return rows.repartition(n, "commit_id", "path").distinct().repartition(n, "commit_id")
+
+
+def commit_sizes(changes: DataFrame) -> DataFrame:
+    """Per commit: its distinct files."""
+    rows = changes.select("commit_id", F.col("file_path").alias("path"))
+    return _files_by_commit(rows, tasks_for(changes)).groupBy("commit_id").agg(F.count("path").alias("files"))
+
+
+def commit_shape(changes: DataFrame, files: DataFrame) -> DataFrame:
+    """Per commit: files, modules, and spread: entropy of its files over modules by ln(modules)."""
     rows = changes.select("commit_id", F.col("file_path").alias("path")).join(files.select("path", "module_name"), "path")
-    rows = rows.repartition(n, "commit_id", "path").distinct()
-    per = rows.repartition(n, "commit_id").groupBy("commit_id", "module_name").agg(F.count(F.lit(1)).alias("n"))
+    per = _files_by_commit(rows, tasks_for(changes)).groupBy("commit_id", "module_name").agg(F.count(F.lit(1)).alias("n"))
     p = F.col("n") / F.sum("n").over(Window.partitionBy("commit_id"))
     return per.withColumn("p", p).groupBy("commit_id").agg(
         F.sum("n").alias("files"), F.count(F.lit(1)).alias("modules"),

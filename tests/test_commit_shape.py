@@ -15,6 +15,13 @@ def test_rows_are_dealt_out_by_their_count(spark, monkeypatch):
     held = [len(p) for p in shapes.rdd.glom().collect()]
     assert sum(held) == 2_000 and max(held) < 200  # a hundred a task; merged ones hold hundreds
     assert {(r["files"], r["modules"]) for r in shapes.collect()} == {(5, 3)}
+    sizes = H.commit_sizes(changes)
+    assert max(len(p) for p in sizes.rdd.glom().collect()) < 200 and {r["files"] for r in sizes.collect()} == {5}
+
+
+def test_a_commit_without_a_path_has_no_files(spark):
+    changes = spark.createDataFrame([(1, "a"), (1, "a"), (1, None), (2, None), (None, "b")], "commit_id int, file_path string")
+    assert {r["commit_id"]: r["files"] for r in H.commit_sizes(changes).collect()} == {1: 1, 2: 0, None: 1}
 
 
 def test_a_file_counts_once_in_each_of_its_modules(spark):
